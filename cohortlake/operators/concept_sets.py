@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 EXPOSURE_SET = 79972333
 COVID_DRUG_SET = 373794531
 CORTICOSTEROID_SET = 84943298
-LYSOSOMOTROPIC_SET = 439617420
+OUTCOME_DRUG_SET = 439617420
 HIERARCHY_ROOTS = (4053270, 37155637)
 
 

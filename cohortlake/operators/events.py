@@ -21,9 +21,17 @@ def index_window_join(
     lo: int = 0,
     hi: int = 30,
     carry: Sequence[str] = ("severity_type",),
+    index_range: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Events of the cohort ``lo`` to ``hi`` days from each person's index date."""
+    """Events of the cohort ``lo`` to ``hi`` days from each person's index date.
+
+    Where the range of index dates is known, the events are also bounded by
+    literal dates, which reach the scan and prune files and row groups.
+    """
     persons = cohort.select("person_id", index_date, *carry)
+    if index_range is not None:
+        first, last = (F.lit(day).cast("date") for day in index_range)
+        events = events.filter(F.col(event_date).between(F.date_add(first, lo), F.date_add(last, hi)))
     offset = F.datediff(event_date, index_date)
     return (
         events.join(persons, "person_id")

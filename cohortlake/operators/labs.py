@@ -27,7 +27,7 @@ LAB_CODES = (
     "6690-2", "789-8", "4544-3", "787-2", "785-6", "786-4", "788-0", "777-3",
     "770-8", "736-9", "5905-5", "713-8", "706-2", "751-8", "731-0", "742-7",
     "711-2", "704-7", "71695-1", "53115-2", "58413-6", "92806-9",
-    # lysosomal enzymes
+    # enzymes
     "55908-8", "62310-8", "55917-9", "55909-6", "62316-5", "55827-0", "79462-8",
     # inflammation and tissue damage
     "1988-5", "2276-4", "42929-0", "26881-3", "75241-0", "10839-9", "42727-8",

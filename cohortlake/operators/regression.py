@@ -16,21 +16,21 @@ BROADCAST_PATTERNS = 200_000
 
 
 def _fit(df: DataFrame, label: str, features: Sequence[str]):
-    """Binomial fit on the distinct covariate patterns weighted by their counts.
+    """Binomial fit on the distinct covariate patterns: share exposed and count.
 
     Equal rows carry the same information, so every iteration reads patterns
     (ages x races x ...) instead of persons. The alphabetically first level of a
     text column is the reference level. Rows with a gap are left out.
     """
     patterns = (
-        df.select(F.col(label).cast("double").alias("_label"), *features)
+        df.select(F.col(label).cast("double").alias("outcome"), *features)
         .dropna()
-        .groupBy("_label", *features)
-        .agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+        .groupBy(*features)
+        .agg(F.avg("outcome").alias("outcome"), F.count(F.lit(1)).cast("double").alias("_weight"))
     )
     patterns = cut_lineage(patterns)
     formula = RFormula(
-        formula="_label ~ " + " + ".join(features),
+        formula="outcome ~ " + " + ".join(features),
         featuresCol="_features",
         labelCol="_y",
         stringIndexerOrderType="alphabetDesc",
@@ -57,8 +57,7 @@ def propensity_score(df: DataFrame, treat: str = "has_lsd", covariates: Sequence
     broadcast only when their counted number is small.
     """
     patterns, formula, fitted = _fit(df, treat, covariates)
-    distinct = patterns.select(*covariates).distinct().withColumn("_label", F.lit(0.0))
-    scores = fitted.transform(formula.transform(distinct)).select(*covariates, F.col("_prediction").alias("score"))
+    scores = fitted.transform(formula.transform(patterns)).select(*covariates, F.col("_prediction").alias("score"))
     if patterns.count() <= BROADCAST_PATTERNS:
         scores = F.broadcast(scores)
     return df.join(scores, list(covariates), "left").select(*df.columns, "score")
