@@ -141,7 +141,7 @@ def worst_value_grid(cohort: DataFrame, labs: DataFrame) -> DataFrame:
 
 
 def pivot_wide(long: DataFrame, row: str, name: str, value: str, names: Sequence[str] | None = None) -> DataFrame:
-    """One row per ``row`` and one column per name, names made valid.
+    """One row per ``row`` and one column per name, column names made valid.
 
     Pass ``names`` to fix the columns and to save the job that looks for them.
     """
@@ -169,20 +169,24 @@ def missing_profile(df: DataFrame) -> DataFrame:
     return shares.select(F.inline("shares"))
 
 
-def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def impute_median(
+    df: DataFrame, columns: Sequence[str] | None = None, medians: DataFrame | None = None
+) -> DataFrame:
     """Fill NULLs with the median of the column; a column of NULLs stays so.
 
     The medians come from the long form, where they are exact at any size, and
-    return to the wide rows as one scalar.
+    return to the wide rows as one scalar. Where the long form exists already,
+    pass its ``medians`` as (name, median) rows.
     """
     if columns is None:
         columns = [field.name for field in df.schema.fields if isinstance(field.dataType, NumericType)]
     if not columns:
         return df
-    cells = F.array(
-        *[F.struct(F.lit(name).alias("name"), _quoted(name).cast("double").alias("value")) for name in columns]
-    )
-    medians = exact_medians(df.select(F.inline(cells)), "name", "value")
+    if medians is None:
+        cells = F.array(
+            *[F.struct(F.lit(name).alias("name"), _quoted(name).cast("double").alias("value")) for name in columns]
+        )
+        medians = exact_medians(df.select(F.inline(cells)), "name", "value")
     by_name = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "median")))).scalar()
     filled = {name: F.coalesce(_quoted(name), F.try_element_at(by_name, F.lit(name))) for name in columns}
     return df.select(*[filled.get(name, _quoted(name)).alias(name) for name in df.columns])

@@ -184,7 +184,7 @@ def match_nearest(
     blocks = cut_lineage(
         placed.select("stratum", "score", "n_t", "n_c", F.floor((F.col("place") - 1) / block_rows).cast("int").alias("block"))
     )
-    several = blocks.filter("block > 0").limit(1).count() > 0
+    several = not blocks.filter("block > 0").isEmpty()
 
     takes = _play_round(spark, blocks, None)
     while several:

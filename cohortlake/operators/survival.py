@@ -21,21 +21,23 @@ def kaplan_meier(
 ) -> DataFrame:
     """Product-limit estimate per stratum and distinct time, with 95 % bounds.
 
-    ``distinct_rows`` counts equal (time, status, stratum) rows once. Rows become
-    counts per stratum and whole-day time first, so the running sums only see the
-    distinct days of a stratum, however many persons it has.
+    ``distinct_rows`` counts equal (time, status, stratum) rows once; status is 1
+    for an event and 0 otherwise. Rows become counts per stratum and whole-day time
+    first, so the running sums only see the distinct days of a stratum, however many
+    persons it has.
     """
     rows = df.select(F.col(strata).alias("strata"), F.col(time).cast("double").alias("time"), F.col(status).alias("s"))
     rows = rows.filter(F.col("strata").isNotNull() & F.col("time").isNotNull() & F.col("s").isNotNull())
     if exclude:
         rows = rows.filter(~F.col("strata").isin(*exclude))
-    if distinct_rows:
-        rows = rows.distinct()
+    event, censored = F.when(F.col("s") == 1, 1).otherwise(0), F.when(F.col("s") == 1, 0).otherwise(1)
+    count = F.max if distinct_rows else F.sum
     counts = rows.groupBy("strata", "time").agg(
-        F.count_if(F.col("s") == 1).alias("n_event"), F.count_if(F.col("s") != 1).alias("n_censor")
+        count(event).cast("long").alias("n_event"), count(censored).cast("long").alias("n_censor")
     )
-    in_time = Window.partitionBy("strata").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("strata")
+    by_time = Window.partitionBy("strata").orderBy("time")
+    in_time = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    whole = by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, d = F.col("n_risk"), F.col("n_event")
     here = d + F.col("n_censor")
     at_risk = counts.withColumn("n_risk", F.sum(here).over(whole) - F.sum(here).over(in_time) + here)

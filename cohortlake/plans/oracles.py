@@ -390,6 +390,7 @@ def oracle_texts() -> dict[str, str]:
         "pivot_wide": """
             select * from cells where person_id in (select person_id from panel_labs)""",
         "missing_profile": missing,
+        "impute_median_wide": f"select person_id, {rounded_cells} from cells",
         "impute_median": f"select person_id, {rounded_cells} from cells",
         "death_summary": "select * from deaths",
         "hospitalized_label": """

@@ -119,9 +119,7 @@ def _worst_value_grid(s: Study) -> DataFrame:
 
 
 def _pivot_wide(s: Study) -> DataFrame:
-    names = s.panel.select(F.col("concept_id").alias("measurement_concept_id"), "concept_code")
-    long = labs.worst_values(s.panel_labs).join(names, "measurement_concept_id")
-    return labs.pivot_wide(long, "person_id", "concept_code", "worst_value_as_number", s.params.lab_codes)
+    return labs.pivot_wide(s.worst_labs, "person_id", "name", "worst_value_as_number", s.params.lab_codes)
 
 
 def _missing_profile(s: Study) -> DataFrame:
@@ -132,6 +130,11 @@ def _impute_median(s: Study) -> DataFrame:
     return rounded(s.lab_matrix, *s.params.lab_codes)
 
 
+def _impute_median_wide(s: Study) -> DataFrame:
+    """Medians taken from the wide table itself."""
+    return rounded(labs.impute_median(s.lab_matrix_with_gaps), *s.params.lab_codes)
+
+
 def _keyword_class_procedures(s: Study) -> DataFrame:
     name = F.col("procedure_concept_name")
     return s.tables["procedure_occurrence"].select(
@@ -259,6 +262,7 @@ STUDY_QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "pivot_wide": _pivot_wide,
     "missing_profile": _missing_profile,
     "impute_median": _impute_median,
+    "impute_median_wide": _impute_median_wide,
     "death_summary": lambda s: s.cohort_death,
     "hospitalized_label": _hospitalized_label,
     "keyword_class": _keyword_class,

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from cohortlake.functions.labels import DRUG_LABELS, PROCEDURE_LABELS, hospitalized_label, keyword_class
 from cohortlake.operators import code_mapping, cohort, comorbidity, concept_sets, events, joins, labs, matching
 from cohortlake.operators import regression, survival
+from cohortlake.functions.values import r_name
 from cohortlake.operators.concept_sets import ConceptSet
+from cohortlake.operators.ranks import exact_medians
 from cohortlake.session import cut_lineage
 
 
@@ -53,6 +55,10 @@ class Study:
     tables: Mapping[str, DataFrame]
     params: StudyParameters = field(default_factory=StudyParameters)
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """Store a result that many others read; without matching each query stays one plan."""
+        return cut_lineage(df) if self.params.matched else df
+
     # concept sets and code maps
 
     @cached_property
@@ -77,7 +83,8 @@ class Study:
 
     @cached_property
     def specific_conditions(self) -> DataFrame:
-        return concept_sets.most_specific_condition(self.exposure_events, self.hierarchy, self.params.roots)
+        best = concept_sets.most_specific_condition(self.exposure_events, self.hierarchy, self.params.roots)
+        return self._kept(best)
 
     @cached_property
     def demographics(self) -> DataFrame:
@@ -127,7 +134,8 @@ class Study:
 
     @cached_property
     def cohort_conditions(self) -> DataFrame:
-        return code_mapping.match_codes_any_route(self.cohort, self.tables["condition_occurrence"], self.code_map)
+        found = code_mapping.match_codes_any_route(self.cohort, self.tables["condition_occurrence"], self.code_map)
+        return self._kept(found)
 
     @cached_property
     def cohort_conditions_wide(self) -> DataFrame:
@@ -158,7 +166,7 @@ class Study:
 
     @cached_property
     def cohort_death(self) -> DataFrame:
-        return events.death_summary(self.tables["death"], self.cohort, self.params.index_date)
+        return self._kept(events.death_summary(self.tables["death"], self.cohort, self.params.index_date))
 
     @cached_property
     def death_by_severity(self) -> DataFrame:
@@ -271,14 +279,27 @@ class Study:
         )
         return labs.measurement_window(complete, self.panel)
 
+    @cached_property
+    def worst_labs(self) -> DataFrame:
+        """Worst value per person and lab name; read by the pivot and by the medians, so kept."""
+        names = self.panel.select(F.col("concept_id").alias("measurement_concept_id"), F.col(self.params.lab_name).alias("name"))
+        worst = labs.worst_values(self.panel_labs).join(names, "measurement_concept_id")
+        return cut_lineage(worst.select("person_id", "name", "worst_value_as_number"))
+
+    @cached_property
+    def lab_names(self) -> list[str]:
+        """Names that were measured at all; no more than the panel has."""
+        return sorted(row["name"] for row in self.worst_labs.select("name").distinct().collect())
+
     @cached_property
     def lab_matrix_with_gaps(self) -> DataFrame:
         """Pivot of the values that exist; the gaps come from the join to all persons."""
-        names = self.panel.select(F.col("concept_id").alias("measurement_concept_id"), self.params.lab_name)
-        long = labs.worst_values(self.panel_labs).join(names, "measurement_concept_id")
-        wide = labs.pivot_wide(long, "person_id", self.params.lab_name, "worst_value_as_number")
+        wide = labs.pivot_wide(self.worst_labs, "person_id", "name", "worst_value_as_number", self.lab_names)
         return self.cohort.select("person_id").distinct().join(wide, "person_id", "left")
 
     @cached_property
     def lab_matrix(self) -> DataFrame:
-        return labs.impute_median(self.lab_matrix_with_gaps)
+        gaps = self.lab_matrix_with_gaps
+        medians = exact_medians(self.worst_labs, "name", "worst_value_as_number")
+        columns = {name: r_name(name) for name in self.lab_names}
+        return labs.impute_median(gaps, list(columns.values()), medians.replace(columns, subset=["name"]))
