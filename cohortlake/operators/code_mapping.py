@@ -11,6 +11,19 @@ from cohortlake.functions.codes import ICD9_RULES, ICD10_RULES, extract_code
 from cohortlake.operators.joins import left_lookup
 
 
+CONDITION_COLUMNS = (
+    "person_id",
+    "condition_concept_id",
+    "condition_concept_name",
+    "condition_start_date",
+    "condition_end_date",
+    "condition_source_value",
+    "condition_source_concept_id",
+)
+# Together they tell apart the rows of one person, however many there are.
+SPREAD_COLUMNS = ("person_id", "condition_start_date", "condition_concept_id", "condition_source_value")
+
+
 def code_to_standard_map(
     concept: DataFrame,
     relationship: DataFrame,
@@ -41,7 +54,7 @@ def code_to_standard_map(
         F.col("vocabulary_id").alias("mapped_vocabulary_id"),
     )
     mapped = source.join(maps_to, F.col("_id") == F.col("icd_concept_id"), "left")
-    return left_lookup(mapped, targets, "snomed_concept_id", "_id").select(
+    return left_lookup(mapped, targets, "snomed_concept_id", ("_id",)).select(
         "icd_concept_id",
         "icd_concept_name",
         "domain_id",
@@ -55,7 +68,7 @@ def code_to_standard_map(
     )
 
 
-def code_if_known(df: DataFrame, text: str, codes: DataFrame, out: str, spread_by: str) -> DataFrame:
+def code_if_known(df: DataFrame, text: str, codes: DataFrame, out: str, spread_by: Sequence[str]) -> DataFrame:
     """Add ``out``: the text itself where it is one of the codes, else NULL."""
     known = codes.select(F.col("concept_code").alias("_text")).distinct().withColumn(out, F.col("_text"))
     return left_lookup(df.withColumn("_text", F.col(text)), known, "_text", spread_by).drop("_text")
@@ -75,7 +88,7 @@ def _parsed_codes(df: DataFrame, code_map: DataFrame, icd10: Sequence[str], icd9
     by_rule = df.withColumns({"_icd10": extract_code(text, ICD10_RULES), "_icd9": extract_code(text, ICD9_RULES)})
     # a text that both rule sets parsed cannot need the lookup
     by_rule = by_rule.withColumn("_text", F.when(F.col("_icd10").isNull() | F.col("_icd9").isNull(), text))
-    looked_up = left_lookup(by_rule, known, "_text", "person_id")
+    looked_up = left_lookup(by_rule, known, "_text", SPREAD_COLUMNS)
     return looked_up.withColumns(
         {
             "icd_9_concept_code": F.coalesce("_icd9", F.when(F.col("_is_icd9"), text)),
@@ -94,17 +107,6 @@ def _map_by_id(code_map: DataFrame) -> DataFrame:
     )
 
 
-CONDITION_COLUMNS = (
-    "person_id",
-    "condition_concept_id",
-    "condition_concept_name",
-    "condition_start_date",
-    "condition_end_date",
-    "condition_source_value",
-    "condition_source_concept_id",
-)
-
-
 def resolve_condition_codes(conditions: DataFrame, code_map: DataFrame, keep_unmapped: bool = False) -> DataFrame:
     """Condition rows with one code each: by source id, else ICD-10, else ICD-9 text.
 
@@ -115,7 +117,7 @@ def resolve_condition_codes(conditions: DataFrame, code_map: DataFrame, keep_unm
     rows = conditions.select(*CONDITION_COLUMNS, "data_partner_id")
     by_id = _map_by_id(code_map)
     if keep_unmapped:
-        joined = left_lookup(rows, by_id, "condition_source_concept_id", "person_id")
+        joined = left_lookup(rows, by_id, "condition_source_concept_id", SPREAD_COLUMNS)
     else:
         joined = rows.join(by_id.filter(F.col("vocabulary_id").isNotNull()), "condition_source_concept_id")
     parsed = _parsed_codes(joined, code_map, ("ICD10CM",), ("ICD9CM",))
@@ -154,7 +156,7 @@ def resolve_condition_codes_wide(cohort: DataFrame, conditions: DataFrame, code_
     """
     flags = cohort.select("person_id", "has_lsd")
     rows = conditions.join(flags, "person_id").distinct()
-    joined = left_lookup(rows, _map_by_id(code_map), "condition_source_concept_id", "person_id")
+    joined = left_lookup(rows, _map_by_id(code_map), "condition_source_concept_id", SPREAD_COLUMNS)
     icd10 = ("ICD10CM", "ICD10")
     icd9 = ("ICD9CM", "ICD9")
     parsed = _parsed_codes(joined, code_map, icd10, icd9).withColumn(
@@ -164,7 +166,7 @@ def resolve_condition_codes_wide(cohort: DataFrame, conditions: DataFrame, code_
         by_code = code_map.filter(F.col("vocabulary_id").isin(*vocabularies)).select(
             F.col("concept_code").alias("combined_concept_code"), F.col("vocabulary_id").alias(name)
         )
-        parsed = left_lookup(parsed, by_code, "combined_concept_code", "person_id")
+        parsed = left_lookup(parsed, by_code, "combined_concept_code", SPREAD_COLUMNS)
     return parsed.select(
         *CONDITION_COLUMNS,
         "has_lsd",

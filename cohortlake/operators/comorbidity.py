@@ -28,6 +28,40 @@ CHARLSON_PREFIXES: Mapping[str, str] = {
     "metacanc": "C77-C80",
     "aids": "B20-B22 B24",
 }
+# Elixhauser categories in ICD-10 by Quan et al. 2005.
+ELIXHAUSER_PREFIXES: Mapping[str, str] = {
+    "chf": "I099 I110 I130 I132 I255 I420 I425-I429 I43 I50 P290",
+    "carit": "I441-I443 I456 I459 I47-I49 R000 R001 R008 T821 Z450 Z950",
+    "valv": "A520 I05-I08 I091 I098 I34-I39 Q230-Q233 Z952-Z954",
+    "pcd": "I26 I27 I280 I288 I289",
+    "pvd": "I70 I71 I731 I738 I739 I771 I790 I792 K551 K558 K559 Z958 Z959",
+    "hypunc": "I10",
+    "hypc": "I11-I13 I15",
+    "para": "G041 G114 G801 G802 G81 G82 G830-G834 G839",
+    "ond": "G10-G13 G20-G22 G254 G255 G312 G318 G319 G32 G35-G37 G40 G41 G931 G934 R470 R56",
+    "cpd": "I278 I279 J40-J47 J60-J67 J684 J701 J703",
+    "diabunc": "E10-E14|019",
+    "diabc": "E10-E14|2345678",
+    "hypothy": "E00-E03 E890",
+    "rf": "I120 I131 N18 N19 N250 Z490-Z492 Z940 Z992",
+    "ld": "B18 I85 I864 I982 K70 K711 K713-K715 K717 K72-K74 K760 K762-K769 Z944",
+    "pud": "K257 K259 K267 K269 K277 K279 K287 K289",
+    "aids": "B20-B22 B24",
+    "lymph": "C81-C85 C88 C96 C900 C902",
+    "metacanc": "C77-C80",
+    "solidtum": "C00-C26 C30-C34 C37-C41 C43 C45-C58 C60-C76 C97",
+    "rheumd": "L940 L941 L943 M05 M06 M08 M120 M123 M30 M310-M313 M32-M35 M45 M461 M468 M469",
+    "coag": "D65-D68 D691 D693-D696",
+    "obes": "E66",
+    "wloss": "E40-E46 R634 R64",
+    "fed": "E222 E86 E87",
+    "blane": "D500",
+    "dane": "D508 D509 D51-D53",
+    "alcohol": "F10 E52 G621 I426 K292 K700 K703 K709 T51 Z502 Z714 Z721",
+    "drug": "F11-F16 F18 F19 Z715 Z722",
+    "psycho": "F20 F22-F25 F28 F29 F302 F312 F315",
+    "depre": "F204 F313-F315 F32 F33 F341 F412 F432",
+}
 # Weights by Quan et al. 2011.
 CHARLSON_WEIGHTS: Mapping[str, int] = {
     "mi": 0, "chf": 2, "pvd": 0, "cevd": 0, "dementia": 2, "cpd": 1, "rheumd": 1, "pud": 0, "mld": 2,

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -69,36 +69,33 @@ def _play_turns(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(takes, columns=["score_t", "start_t", "score_c", "start_c", "n", "home"])
 
 
-def _neighbours(blocks: DataFrame, takes: DataFrame | None) -> list[tuple]:
-    """For each block that wants controls: the blocks that can hold its nearest free ones.
+def _neighbours(blocks: DataFrame, takes: DataFrame | None, since: dict) -> list[tuple]:
+    """For each block to play: the other blocks that can hold its nearest free controls.
 
-    Works on one line per block, the totals of wanted, present and taken.
+    Works on one line per block, the totals of wanted, present and taken, and
+    only for strata that have more than one block.
     """
+    wide = blocks.filter("block > 0").select("stratum").distinct()
+    totals = blocks.join(wide, "stratum", "left_semi").groupBy("stratum", "block").agg(F.sum("n_c"), F.sum("n_t"))
     present, wants = defaultdict(dict), defaultdict(dict)
-    for stratum, block, controls, exposed in (
-        blocks.groupBy("stratum", "block").agg(F.sum("n_c"), F.sum("n_t")).toLocalIterator()
-    ):
+    for stratum, block, controls, exposed in totals.toLocalIterator():
         present[stratum][block], wants[stratum][block] = controls, exposed
     taken_before = defaultdict(list)
     if takes is not None:
-        for stratum, block, home, n in takes.groupBy("stratum", "block", "home").agg(F.sum("n")).toLocalIterator():
+        taken = takes.join(wide, "stratum", "left_semi").groupBy("stratum", "block", "home").agg(F.sum("n"))
+        for stratum, block, home, n in taken.toLocalIterator():
             taken_before[stratum, home].append((block, n))
     links = []
     for stratum, exposed_by_block in wants.items():
         last = max(exposed_by_block)
         for block, exposed in exposed_by_block.items():
-            if not exposed:
+            if not exposed or block <= since.get(stratum, last):
                 continue
-
-            def free_in(home: int, stratum=stratum, block=block) -> int:
-                gone = sum(n for by, n in taken_before[stratum, home] if by < block)
-                return present[stratum].get(home, 0) - gone
-
-            links.append((stratum, block, block))
             for side in (range(block - 1, -1, -1), range(block + 1, last + 1)):
                 missing = exposed
                 for home in side:
-                    found = free_in(home)
+                    gone = sum(n for by, n in taken_before[stratum, home] if by < block)
+                    found = present[stratum].get(home, 0) - gone
                     if found > 0:
                         links.append((stratum, home, block))
                         missing -= found
@@ -107,23 +104,28 @@ def _neighbours(blocks: DataFrame, takes: DataFrame | None) -> list[tuple]:
     return links
 
 
-def _play_round(spark: SparkSession, blocks: DataFrame, takes: DataFrame | None) -> DataFrame:
-    """Play every block against the state left by the blocks before it."""
-    link_schema = StructType(
-        [
-            blocks.schema["stratum"],
-            StructField("home", IntegerType()),
-            StructField("block", IntegerType()),
-        ]
-    )
-    links = spark.createDataFrame(_neighbours(blocks, takes), link_schema)
-    rows = blocks.withColumnRenamed("block", "home").join(links, ["stratum", "home"])
+def _play_round(blocks: DataFrame, takes: DataFrame | None, since: dict) -> DataFrame:
+    """Play the blocks after ``since`` of each stratum against the state left by those before them.
+
+    Without ``takes`` it is the first round, in which all blocks play.
+    """
+    spark = blocks.sparkSession
+    stratum, whole = blocks.schema["stratum"], IntegerType()
+    linked = StructType([stratum, StructField("home", whole), StructField("block", whole)])
+    links = spark.createDataFrame(_neighbours(blocks, takes, since), linked)
+    homes = blocks.withColumnRenamed("block", "home")
     if takes is None:
-        rows = rows.withColumn("used", F.lit(0).cast("long"))
+        own = homes.withColumn("block", F.col("home"))
+        rows = own.unionByName(homes.join(links, ["stratum", "home"])).withColumn("used", F.lit(0).cast("long"))
     else:
+        marks = spark.createDataFrame(list(since.items()), StructType([stratum, StructField("since", whole)]))
+        playing = homes.join(marks, "stratum")
+        own = playing.filter("home > since").withColumn("block", F.col("home")).drop("since")
+        rows = own.unionByName(homes.join(links, ["stratum", "home"]))
+        own_links = own.select(*linked.names).distinct()
         gone = (
             takes.withColumnRenamed("block", "by")
-            .join(links, ["stratum", "home"])
+            .join(links.unionByName(own_links), ["stratum", "home"])
             .filter(F.col("by") < F.col("block"))
             .groupBy("stratum", "block", F.col("score_c").alias("score"))
             .agg(F.sum("n").alias("used"))
@@ -140,12 +142,7 @@ def _play_round(spark: SparkSession, blocks: DataFrame, takes: DataFrame | None)
         (F.col("n_c") - F.col("used")).alias("free"),
         "used",
     ).filter("wanted > 0 or free > 0")
-    schema = StructType(
-        [
-            blocks.schema["stratum"],
-            StructField("block", IntegerType()),
-        ]
-    )
+    schema = StructType([stratum, StructField("block", whole)])
     for column in ("score_t double", "start_t long", "score_c double", "start_c long", "n long", "home integer"):
         schema = schema.add(*column.split())
 
@@ -155,7 +152,32 @@ def _play_round(spark: SparkSession, blocks: DataFrame, takes: DataFrame | None)
         takes.insert(1, "block", key[1])
         return takes
 
-    return cut_lineage(rows.groupBy("stratum", "block").applyInPandas(play, schema))
+    return rows.groupBy("stratum", "block").applyInPandas(play, schema)
+
+
+def _settle(blocks: DataFrame) -> DataFrame:
+    """Takes of all blocks, replayed until no block has anything to change.
+
+    A block is replayed only after one before it has changed. Every round
+    settles at least one more block of each stratum.
+    """
+    first = blocks.filter("block > 0").select("stratum").distinct().collect()
+    since = {row["stratum"]: -1 for row in first}
+    takes = cut_lineage(_play_round(blocks, None, since))
+    since = dict.fromkeys(since, 0)
+    while since:
+        marks = blocks.sparkSession.createDataFrame(
+            list(since.items()), StructType([blocks.schema["stratum"], StructField("since", IntegerType())])
+        )
+        settled = takes.join(marks, "stratum", "left").filter("since is null or block <= since").select(takes.columns)
+        again = cut_lineage(settled.unionByName(_play_round(blocks, takes, since)))
+        old, new = (
+            state.join(marks, "stratum").filter("block > since").select(takes.columns) for state in (takes, again)
+        )
+        moved = new.exceptAll(old).union(old.exceptAll(new)).groupBy("stratum").agg(F.min("block"))
+        since = {stratum: block for stratum, block in moved.collect()}
+        takes = again
+    return takes
 
 
 def match_nearest(
@@ -168,7 +190,6 @@ def match_nearest(
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Matched persons, one exposed and one control per ``subclass`` (the exposed id)."""
-    spark = df.sparkSession
     people = cut_lineage(
         df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(exact).isNotNull()).select(
             F.col(id).alias("id"),
@@ -184,13 +205,7 @@ def match_nearest(
     blocks = cut_lineage(
         placed.select("stratum", "score", "n_t", "n_c", F.floor((F.col("place") - 1) / block_rows).cast("int").alias("block"))
     )
-    several = not blocks.filter("block > 0").isEmpty()
-
-    takes = _play_round(spark, blocks, None)
-    while several:
-        again = _play_round(spark, blocks, takes)
-        several = not (again.exceptAll(takes).isEmpty() and takes.exceptAll(again).isEmpty())
-        takes = again
+    takes = _settle(blocks)
 
     # takes hold runs of turns; unfold them to single pairs in two steps, so that
     # one long run is spread before it becomes rows
@@ -212,7 +227,12 @@ def match_nearest(
         "score_c",
         (F.col("start_c") + F.col("step") + 1).alias("rank_c"),
     )
-    ranked = running_total(people, ["stratum", "score", "exposed"], ["id"], F.lit(1), "rank", group_limit)
+    # only persons whose score was taken from or played need a rank
+    played = takes.select("stratum", F.col("score_t").alias("score"), F.lit(1).alias("exposed")).union(
+        takes.select("stratum", F.col("score_c").alias("score"), F.lit(0).alias("exposed"))
+    )
+    candidates = people.join(played.distinct(), ["stratum", "score", "exposed"], "left_semi")
+    ranked = running_total(candidates, ["stratum", "score", "exposed"], ["id"], F.lit(1), "rank", group_limit)
     exposed = ranked.filter("exposed = 1").select(
         "stratum", F.col("score").alias("score_t"), F.col("rank").alias("rank_t"), F.col("id").alias("id_t")
     )

@@ -68,10 +68,49 @@ CHARLSON = {
 WEIGHTS = {"chf": 2, "dementia": 2, "cpd": 1, "rheumd": 1, "mld": 2, "diabwc": 1, "hp": 2, "rend": 1, "canc": 2}
 WEIGHTS |= {"msld": 4, "metacanc": 6, "aids": 4}
 # C0, C1 and C6 stand for two-digit stems, so the code needs three characters.
-FLAG_COLUMNS = ",\n".join(
-    f"cast(max(case when length(bare) >= 3 and regexp_matches(bare, '^({pattern})') then 1 else 0 end) as int) as {name}"
-    for name, pattern in CHARLSON.items()
-)
+ELIXHAUSER = {
+    "chf": CHARLSON["chf"],
+    "carit": "I44[123]|I45[69]|I4[789]|R00[018]|T821|Z450|Z950",
+    "valv": "A520|I0[5-8]|I09[18]|I3[4-9]|Q23[0-3]|Z95[234]",
+    "pcd": "I2[67]|I28[089]",
+    "pvd": CHARLSON["pvd"],
+    "hypunc": "I10",
+    "hypc": "I1[1235]",
+    "para": CHARLSON["hp"],
+    "ond": "G1[0-3]|G2[0-2]|G25[45]|G31[289]|G32|G3[5-7]|G4[01]|G93[14]|R470|R56",
+    "cpd": CHARLSON["cpd"],
+    "diabunc": "E1[0-4][019]",
+    "diabc": "E1[0-4][2-8]",
+    "hypothy": "E0[0-3]|E890",
+    "rf": "I120|I131|N1[89]|N250|Z49[0-2]|Z940|Z992",
+    "ld": "B18|I85|I864|I982|K70|K71[13457]|K7[234]|K760|K76[2-9]|Z944",
+    "pud": "K2[5-8][79]",
+    "aids": CHARLSON["aids"],
+    "lymph": "C8[1-58]|C96|C90[02]",
+    "metacanc": CHARLSON["metacanc"],
+    "solidtum": "C[01]|C2[0-6]|C3[0-4]|C3[7-9]|C4[0135-9]|C5[0-8]|C6|C7[0-6]|C97",
+    "rheumd": "L94[013]|M0[568]|M12[03]|M30|M31[0-3]|M3[2-5]|M45|M46[189]",
+    "coag": "D6[5-8]|D69[13-6]",
+    "obes": "E66",
+    "wloss": "E4[0-6]|R634|R64",
+    "fed": "E222|E8[67]",
+    "blane": "D500",
+    "dane": "D50[89]|D5[123]",
+    "alcohol": "F10|E52|G621|I426|K292|K70[039]|T51|Z502|Z714|Z721",
+    "drug": "F1[1-689]|Z715|Z722",
+    "psycho": "F2[0234589]|F302|F31[25]",
+    "depre": "F204|F31[345]|F3[23]|F341|F412|F432",
+}
+
+
+def _flag_columns(patterns: dict[str, str]) -> str:
+    return ",\n".join(
+        f"cast(max(case when length(bare) >= 3 and regexp_matches(bare, '^({pattern})') then 1 else 0 end) as int) as {name}"
+        for name, pattern in patterns.items()
+    )
+
+
+FLAG_COLUMNS = _flag_columns(CHARLSON)
 SCORE = " + ".join(f"{name} * {weight}" for name, weight in WEIGHTS.items())
 
 # Intermediate results, as named table expressions over the study tables.
@@ -425,6 +464,13 @@ def oracle_texts() -> dict[str, str]:
               round(exp(estimate - 1.959963984540054 * std_error), 5) as bottom_ci from terms""",
         "comorbidity_flags": "select * from flags",
         "comorbidity_score": f"select person_id, cast({SCORE} as int) as score from flags",
+        "comorbidity_flags_elixhauser": f"""
+            select person_id, {_flag_columns(ELIXHAUSER)} from (
+              select person_id, upper(regexp_replace(combined_concept_code, '[^A-Za-z0-9]', '', 'g')) as bare
+              from latest where vocabulary_id = 'ICD10CM') group by person_id""",
+        "score_histogram_exposed": f"""
+            select cast({SCORE} as int) as score, count(*) as n
+            from flags where person_id in (select person_id from specific) group by all""",
         "score_by_exposure": "select * from score_flags",
         "score_histogram": "select score, has_lsd, count(*) as n from score_flags group by all",
         "density_by_group": """

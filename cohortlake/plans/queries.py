@@ -84,7 +84,7 @@ def _extract_code(s: Study) -> DataFrame:
 
 def _code_if_known(s: Study) -> DataFrame:
     rows = s.tables["condition_occurrence"].select("person_id", "condition_start_date", "condition_source_value")
-    return code_mapping.code_if_known(rows, "condition_source_value", s.code_map, "code", "person_id")
+    return code_mapping.code_if_known(rows, "condition_source_value", s.code_map, "code", ("person_id", "condition_start_date"))
 
 
 def _resolve(s: Study) -> DataFrame:
@@ -222,6 +222,14 @@ def _score_histogram(s: Study) -> DataFrame:
     return comorbidity.score_histogram(s.cohort_comorbidity, by="has_lsd")
 
 
+def _score_histogram_exposed(s: Study) -> DataFrame:
+    return comorbidity.score_histogram(s.exposed_comorbidity)
+
+
+def _elixhauser_flags(s: Study) -> DataFrame:
+    return comorbidity.comorbidity_flags(s.condition_codes, mapping=comorbidity.ELIXHAUSER_PREFIXES)
+
+
 def _demographics(s: Study) -> DataFrame:
     return s.demographics
 
@@ -280,6 +288,8 @@ STUDY_QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "comorbidity_score": _comorbidity_score,
     "score_by_exposure": lambda s: s.cohort_comorbidity,
     "score_histogram": _score_histogram,
+    "score_histogram_exposed": _score_histogram_exposed,
+    "comorbidity_flags_elixhauser": _elixhauser_flags,
     "density_by_group": _density,
     "map_phecodes": lambda s: s.cohort_phecodes,
     "map_phecodes_exposed": lambda s: s.exposed_phecodes,

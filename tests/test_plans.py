@@ -44,7 +44,7 @@ def test_missing_keys_are_spread(spark, no_broadcast):
     rows = [(i, None if i % 4 else i) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, k int")
     lookup = spark.createDataFrame([(i, f"v{i}") for i in range(0, 400, 8)], "k int, v string")
-    out = left_lookup(df, lookup, "k", "id")
+    out = left_lookup(df, lookup, "k", ("id",))
     assert "hashpartitioning(k" in plan_of(out) and "_spare" in plan_of(out).split("hashpartitioning(k")[1][:40]
     assert out.count() == 400 and out.filter("v is not null").count() == 50
 
