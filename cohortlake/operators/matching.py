@@ -155,6 +155,21 @@ def _play_round(blocks: DataFrame, takes: DataFrame | None, since: dict) -> Data
     return rows.groupBy("stratum", "block").applyInPandas(play, schema)
 
 
+def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Stratum and block of the takes that only one of the two states has.
+
+    Each take is counted +1 in one state and -1 in the other. Fresh column names
+    keep the two apart, since a checkpoint keeps the column ids of its source.
+    """
+    names = before.columns
+    signed = [
+        state.select(*[F.col(name).alias(f"_{name}") for name in names], F.lit(sign).alias("_sign"))
+        for state, sign in ((before, -1), (after, 1))
+    ]
+    uneven = signed[0].union(signed[1]).groupBy(*[f"_{name}" for name in names]).agg(F.sum("_sign").alias("_sum"))
+    return uneven.filter("_sum <> 0").select(F.col("_stratum").alias("stratum"), F.col("_block").alias("block"))
+
+
 def _settle(blocks: DataFrame) -> DataFrame:
     """Takes of all blocks, replayed until no block has anything to change.
 
@@ -171,10 +186,8 @@ def _settle(blocks: DataFrame) -> DataFrame:
         )
         settled = takes.join(marks, "stratum", "left").filter("since is null or block <= since").select(takes.columns)
         again = cut_lineage(settled.unionByName(_play_round(blocks, takes, since)))
-        old, new = (
-            state.join(marks, "stratum").filter("block > since").select(takes.columns) for state in (takes, again)
-        )
-        moved = new.exceptAll(old).union(old.exceptAll(new)).groupBy("stratum").agg(F.min("block"))
+        moved = _changed(takes, again).join(marks, "stratum").filter("block > since")
+        moved = moved.groupBy("stratum").agg(F.min("block"))
         since = {stratum: block for stratum, block in moved.collect()}
         takes = again
     return takes

@@ -87,3 +87,15 @@ def test_cohort_properties(spark, small_dir):
     expected = sum(min(counts) for counts in per_partner.values())
     assert len(ids) == 2 * expected
     assert s.cohort.count() == len(ids)
+
+
+def test_changed_blocks(spark):
+    from cohortlake.operators.matching import _changed
+    from cohortlake.session import cut_lineage
+
+    schema = "stratum int, block int, n long"
+    first = cut_lineage(spark.createDataFrame([(1, 0, 5), (1, 1, 6), (1, 1, 6), (2, 3, 7)], schema))
+    same = cut_lineage(first.filter("block < 2").union(first.filter("block > 2")))
+    assert _changed(first, same).collect() == []
+    fewer = cut_lineage(first.filter("block <> 1").union(spark.createDataFrame([(1, 1, 6)], schema)))
+    assert {tuple(row) for row in _changed(first, fewer).collect()} == {(1, 1)}
