@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType
 from cohortlake.functions.labels import LAB_SCALE_LABELS, LabelRules, keyword_class
 from cohortlake.functions.values import r_name
 from cohortlake.operators.ranks import exact_medians
+from cohortlake.session import cut_lineage
 
 # Language of the lab synonyms, preferred scales, codes of the panel.
 LAB_LANGUAGE = 4180186
@@ -122,8 +123,9 @@ def worst_value_grid(cohort: DataFrame, labs: DataFrame) -> DataFrame:
     Each person carries a map of their own values and is unfolded along the list
     of concepts, which is as long as the lab panel. No person-by-concept join.
     """
-    worst = worst_values(labs)
-    concepts = labs.agg(F.array_sort(F.collect_set("measurement_concept_id"))).scalar()
+    # read twice below, for the maps and for the list of concepts
+    worst = cut_lineage(worst_values(labs))
+    concepts = worst.agg(F.array_sort(F.collect_set("measurement_concept_id"))).scalar()
     own = worst.groupBy("person_id").agg(
         F.map_from_entries(F.collect_list(F.struct("measurement_concept_id", "worst_value_as_number"))).alias("_own")
     )

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.session import cut_lineage
+
 Z95 = 1.959963984540054
 
 
@@ -94,6 +96,8 @@ def density_by_group(
         .groupBy(F.col(group).alias("group"), (F.round(F.col(value) / resolution) * resolution).alias("x"))
         .agg(F.count(F.lit(1)).alias("w"))
     )
+    # a short list by now; read twice, for the groups and for the ends of the grid
+    binned = cut_lineage(binned)
     w, x = F.col("w"), F.col("x")
     groups = binned.groupBy("group").agg(
         F.sum(w).alias("n"),

@@ -67,7 +67,9 @@ class Study:
 
     @cached_property
     def code_map(self) -> DataFrame:
-        return code_mapping.code_to_standard_map(self.tables["concept"], self.tables["concept_relationship"])
+        return self._kept(
+            code_mapping.code_to_standard_map(self.tables["concept"], self.tables["concept_relationship"])
+        )
 
     @cached_property
     def hierarchy(self) -> DataFrame:

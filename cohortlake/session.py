@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,21 @@ ADAPTIVE_SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else has built."""
+# Size of a shuffle partition that sorts in executor memory without spilling.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def tune(spark: SparkSession, shuffle_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime settings to a session somebody else has built.
+
+    ``shuffle_bytes``, the size of the largest shuffle expected, sets the number
+    of shuffle partitions; AQE merges those that turn out small.
+    """
     for key, value in ADAPTIVE_SETTINGS.items():
         spark.conf.set(key, value)
+    if shuffle_bytes is not None:
+        partitions = max(1, math.ceil(shuffle_bytes / PARTITION_BYTES))
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return spark
 
 
@@ -34,6 +46,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

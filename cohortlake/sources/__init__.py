@@ -1,3 +1,3 @@
-from cohortlake.sources.tables import SCHEMAS, read_table, write_table
+from cohortlake.sources.tables import SCHEMAS, read_table, write_bucketed, write_table
 
-__all__ = ["SCHEMAS", "read_table", "write_table"]
+__all__ = ["SCHEMAS", "read_table", "write_bucketed", "write_table"]

@@ -46,3 +46,19 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def write_table(df: DataFrame, folder: str, name: str, partition_by: tuple[str, ...] = ()) -> None:
     """Store a result; partition large event tables by a date or partner column."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/{name}.parquet")
+
+
+def write_bucketed(df: DataFrame, folder: str, name: str, key: str = "person_id", buckets: int = 1024) -> DataFrame:
+    """Store a table in buckets of the key and return it.
+
+    Tables with the same key and number of buckets join and aggregate on it
+    without a shuffle, which pays for events that many results read. A bucket is
+    one task, so a table in which few persons hold most rows is better left plain.
+    """
+    spark = df.sparkSession
+    # one task writes one bucket, so the files do not multiply
+    clustered = df.repartition(buckets, key)
+    clustered.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option(
+        "path", f"{folder}/{name}.parquet"
+    ).saveAsTable(name)
+    return spark.table(name)

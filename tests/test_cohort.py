@@ -5,7 +5,7 @@ import pytest
 from cohortlake.operators.cohort import demographics, impute_covariates, patient_facts
 from cohortlake.operators.events import index_window_join, severity_outcome_drugs
 from cohortlake.session import cut_lineage
-from cohortlake.sources import read_table, write_table
+from cohortlake.sources import read_table, write_bucketed, write_table
 
 MILD = "Mild_No_ED_or_Hosp_around_COVID_index"
 EXPOSURE = (
@@ -98,3 +98,31 @@ def test_cut_lineage_keeps_rows_on_disk(spark):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        events = spark.range(1000).selectExpr("cast(id % 50 as string) as person_id", "id as event")
+        persons = spark.range(50).selectExpr("cast(id as string) as person_id", "id as age")
+        left = write_bucketed(events, str(tmp_path), "bucketed_events", buckets=4)
+        right = write_bucketed(persons, str(tmp_path), "bucketed_persons", buckets=4)
+        joined = left.join(right, "person_id").groupBy("person_id").count()
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 50
+    finally:
+        spark.conf.set(key, before)
+        spark.sql("drop table if exists bucketed_events")
+        spark.sql("drop table if exists bucketed_persons")
+
+
+def test_partitions_follow_the_shuffle_size(spark):
+    from cohortlake.session import tune
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    tune(spark, shuffle_bytes=10 * 1024**3)
+    assert spark.conf.get(key) == "80"
+    spark.conf.set(key, before)
