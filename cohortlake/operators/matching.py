@@ -15,9 +15,11 @@ controls around it, never a whole stratum.
 
 from __future__ import annotations
 
+import sys
 from collections import defaultdict
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -25,6 +27,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from cohortlake.operators.ranks import GROUP_LIMIT, running_total
 from cohortlake.session import cut_lineage
 
+# Executors need not have this package installed: its function travels with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 200_000
 UNIT_CHUNK = 100_000
 

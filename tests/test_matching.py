@@ -1,6 +1,9 @@
 """Matching against turn-by-turn play, in one block and in many."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -99,3 +102,17 @@ def test_changed_blocks(spark):
     assert _changed(first, same).collect() == []
     fewer = cut_lineage(first.filter("block <> 1").union(spark.createDataFrame([(1, 1, 6)], schema)))
     assert {tuple(row) for row in _changed(first, fewer).collect()} == {(1, 1)}
+
+
+def test_workers_need_no_installed_package(small_dir, tmp_path):
+    """Started elsewhere, Python workers cannot import the package by its folder."""
+    repo = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as driver
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert driver.queries()["match_nearest"](spark, {small_dir!r}).count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300)
