@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Sequence
 
@@ -13,6 +15,11 @@ from pyspark.sql import functions as F
 NUMBER_BUCKETS = 4096
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from one task to the next, such as loaded tokenizers."""
+    return vars(sys.modules.setdefault("_cohortlake_worker", types.ModuleType("_cohortlake_worker")))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder, not yet made, in the place all executors share.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import id_store, packing
+from cohortlake.llm import id_store, language_id, mixing, packing, personal_data, sharding
 from cohortlake.llm.common import shared_folder
 
 
@@ -21,6 +21,25 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _remainder(divisor: int) -> Column:
+    """crc32 of the document's number as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = language_id.learn(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(F.col("text"), model, docs).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    placed = sharding.assign(docs, sharding.tree_of(8), sharding.tree_of(9))
+    return placed.withColumn("law", F.lit("key"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     pieces = packing.pack(docs, _tokenizer("word_bpe_49k.json"))
@@ -34,11 +53,25 @@ def op4_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs.select("doc_id", "source"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", personal_data.digest(F.col("text")).alias("found")).select("doc_id", "found.*")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
+        "op1_language_id": op1_language_id,
+        "op2_sharding": op2_sharding,
         "op3_packing": op3_packing,
         "op4_id_store": op4_id_store,
+        "op5_mixing": op5_mixing,
+        "op8_personal_data": op8_personal_data,
     }
 
 
