@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import id_store, language_id, mixing, packing, personal_data, sharding
+from cohortlake.llm import id_store, language_id, mixing, packing, personal_data, quality, sharding
 from cohortlake.llm.common import shared_folder
 
 
@@ -63,6 +63,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", personal_data.digest(F.col("text")).alias("found")).select("doc_id", "found.*")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", quality.assess(F.col("text"), model, docs).alias("found")).select("doc_id", "found.*")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
@@ -72,6 +78,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_id_store": op4_id_store,
         "op5_mixing": op5_mixing,
         "op8_personal_data": op8_personal_data,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
