@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import id_store, language_id, mixing, packing, personal_data, quality, sharding
+from cohortlake.llm import id_store, jaccard_join, language_id, mixing, packing, personal_data, quality, sharding
 from cohortlake.llm.common import shared_folder
 
 
@@ -58,6 +58,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs.select("doc_id", "source"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", personal_data.digest(F.col("text")).alias("found")).select("doc_id", "found.*")
@@ -77,6 +81,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_id_store": op4_id_store,
         "op5_mixing": op5_mixing,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_personal_data": op8_personal_data,
         "op9_quality_rules": op9_quality_rules,
     }
