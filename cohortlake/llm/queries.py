@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import id_store, jaccard_join, language_id, mixing, packing, personal_data, quality, sharding
+from cohortlake.llm import id_store, jaccard_join, language_id, lattice, mixing, packing, personal_data, quality, sharding
 from cohortlake.llm.common import shared_folder
 
 
@@ -73,6 +73,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.assess(F.col("text"), model, docs).alias("found")).select("doc_id", "found.*")
 
 
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
@@ -84,6 +88,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_jaccard_join": op7_jaccard_join,
         "op8_personal_data": op8_personal_data,
         "op9_quality_rules": op9_quality_rules,
+        "op10_lattice": op10_lattice,
     }
 
 
