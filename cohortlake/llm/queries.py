@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import id_store, jaccard_join, language_id, lattice, mixing, packing, personal_data, quality, sharding
+from cohortlake.llm import hidden_markov, id_store, jaccard_join, language_id, lattice, mixing, packing, personal_data, quality, sharding
 from cohortlake.llm.common import shared_folder
 
 
@@ -58,6 +58,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs.select("doc_id", "source"))
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(_table(spark, sf_dir, "documents"), _remainder(5) == 1)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_id_store": op4_id_store,
         "op5_mixing": op5_mixing,
+        "op6_hidden_markov": op6_hidden_markov,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_personal_data": op8_personal_data,
         "op9_quality_rules": op9_quality_rules,
