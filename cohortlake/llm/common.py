@@ -8,7 +8,7 @@ import types
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Sub-buckets per group when rows are numbered; bounds the rows one task must sort.
@@ -59,7 +59,8 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
     A group is dealt into sub-buckets by a hash of ``order``. The sub-buckets are
     counted, the counts summed up along the group, and rows are numbered inside
     their sub-bucket. Which number a row gets depends on its values alone; the
-    numbers follow the hash, not the order of the columns.
+    numbers follow the hash, not the order of the columns. Columns of ``group`` must not
+    be null.
     """
     bucket, before = spare_name(df, "_bucket"), spare_name(df, "_before")
     keys = [*group, bucket]
@@ -72,11 +73,6 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     numbered = dealt.withColumn(out, F.row_number().over(inside).cast("long") - 1)
-    same: list[Column] = [numbered[key].eqNullSafe(offsets[key]) for key in keys]
-    condition = same[0]
-    for more in same[1:]:
-        condition = condition & more
-    return numbered.join(offsets, condition).select(
-        *[numbered[c] for c in numbered.columns if c not in (bucket, out)],
-        (numbered[out] + offsets[before]).alias(out),
+    return numbered.join(offsets, keys).select(
+        *[c for c in df.columns if c != out], (F.col(out) + F.col(before)).alias(out)
     )
