@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.token_ids import TextEncoder
+from cohortlake.llm.token_ids import text_encoder
 
 CAPACITY = 2048
 END_ID = 1
@@ -154,7 +154,7 @@ def pack(
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder = TextEncoder(tokenizer_path, spaces_count=False)
+        encoder = text_encoder(tokenizer_path, spaces_count=False)
         end = int(end_id).to_bytes(4, "little")
         packer = _Packer(TaskContext.get().partitionId(), capacity, piece, group_windows)
         names = [part.split()[0] for part in PIECE_SCHEMA.split(", ")]
@@ -168,14 +168,15 @@ def pack(
         for batch in batches:
             texts = [value if isinstance(value, str) else "" for value in batch["text"]]
             keys = [None if pd.isna(value) else int(value) for value in batch["key"]]
-            for at in range(0, len(texts), 256):
-                for doc, ids in zip(keys[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
+            for at in range(0, len(texts), 1000):
+                for doc, ids in zip(keys[at : at + 1000], encoder.encode(texts[at : at + 1000]), strict=True):
                     for row in packer.add(doc, ids + end):
                         rows.append(row)
                         held += row[2]
                 if held > 2_000_000:
                     yield frame(rows)
                     rows, held = [], 0
+        encoder.forget()
         rows.extend(packer.flush())
         if rows:
             yield frame(rows)

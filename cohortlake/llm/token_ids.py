@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, part by part with a memory.
 
 Both public vocabularies split a text at white space before any merge, so that the
-ids of a text are the ids of its parts in a row. Each task encodes a part it has
+ids of a text are the ids of its parts in a row. A Python worker encodes a part it has
 not met yet by the library, many in one call, and remembers the bytes of its ids.
 """
 
@@ -13,22 +13,26 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from cohortlake.llm.common import worker_cache
 from cohortlake.llm.textarrays import runs
 
-# Remembered parts per task; beyond it the memory starts anew.
-MEMORY_PARTS = 800_000
+# Remembered parts, about 120 MB; beyond it, and between tasks, only short ones,
+# which are the frequent ones, stay.
+MEMORY_PARTS = 600_000
+SHORT_CHARS = 8
 # Longer parts, whole texts among them, are not remembered.
 PART_CHARS = 64
 CALL_PARTS = 1000
+CALL_CHARS = 2_000_000
 
 
-def _latin(text: str) -> bool:
-    """Lower-casing and composing change such a text letter by letter, if at all."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def _classes() -> bytes:
+    """For each Latin-1 character: letter or digit, white space, comma or full stop, or other."""
+    kinds = []
+    for number in range(256):
+        char = chr(number)
+        kinds.append("M" if char in ",." else "L" if char.isalnum() else "S" if char.isspace() else "P")
+    return "".join(kinds).encode()
 
 
 class TextEncoder:
@@ -51,7 +55,7 @@ class TextEncoder:
         self.edge = np.zeros(max(names.values()) + 1, dtype=bool)
         for name, number in names.items():
             self.edge[number] = name.startswith("Ġ") if spaces_count else name.endswith("</w>")
-        self.marks = {mark: self._whole([mark])[0] for mark in ",."}
+        self.classes = _classes()
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(list(texts), add_special_tokens=False)
@@ -75,44 +79,47 @@ class TextEncoder:
         return out
 
     def _parts(self, text: str) -> list[str]:
-        if not self.spaces_count:
-            return text.replace("\n", " ").split(" ")
-        words = text.split()
-        gaps = text.count(" ") + text.count("\n")
-        if len(words) != gaps + 1 or len("".join(words)) != len(text) - gaps or "\x00" in text:
-            return [text]
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+        if self.spaces_count:
+            words = text.split()
+            gaps = text.count(" ") + text.count("\n")
+            if len(words) != gaps + 1 or len("".join(words)) != len(text) - gaps or "\x00" in text:
+                return [text]
+        try:
+            kinds = text.encode("latin-1").translate(self.classes)
+        except UnicodeEncodeError:
+            kinds = b"PM"
+        else:
+            if not self.spaces_count:
+                # no letter of these changes but by itself, so it may be done for all at once
+                text = text.lower()
+        # a mark behind a letter or digit begins a part
+        apart = b"PM" not in kinds and b"MM" not in kinds
+        if self.spaces_count:
+            if apart and b"SM" not in kinds:
+                text = text.replace(",", "\x00,").replace(".", "\x00.")
+            return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+        if apart:
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.replace("\n", " ").split(" ")
 
     def _learn(self, fresh: set[str]) -> dict[str, bytes]:
-        """Put new parts into the memory; returns those too long for it.
-
-        A part of letters only, with or without a comma or full stop behind it, has
-        the ids of its letters and then of the mark.
-        """
+        """Put new parts into the memory; returns those too long for it."""
         memory = self.memory
-        blank = self.spaces_count
-        plain: list[str] = []
-        stems: list[str] = []
-        single: list[str] = []
-        for part in fresh:
-            stem = part[:-1] if part[-1:] in (",", ".") else part
-            letters = stem[1:] if blank else stem
-            if len(part) > PART_CHARS or not letters.isalpha() or (blank and stem[0] != " "):
-                single.append(part)
-                continue
-            if not blank and not stem.islower() and _latin(stem):
-                stem = stem.lower()
-            plain.append(part)
-            stems.append(stem)
-        listed = list(set(stems).difference(memory))
-        memory.update(zip(listed, self._together(listed), strict=True))
-        ends = {part[-1]: self.marks.get(part[-1], b"") for part in plain}
-        memory.update([(part, memory[stem] + ends[part[-1]]) for part, stem in zip(plain, stems, strict=True)])
+        if self.spaces_count:
+            plain = [part for part in fresh if part[1:].isalpha() and part[0] == " " and len(part) <= PART_CHARS]
+        else:
+            plain = [part for part in fresh if part.isalpha() and len(part) <= PART_CHARS]
+        memory.update(zip(plain, self._together(plain), strict=True))
+        single = list(fresh.difference(plain))
         passing: dict[str, bytes] = {}
         for part, ids in zip(single, self._whole(single), strict=True):
             (memory if len(part) <= PART_CHARS else passing)[part] = ids
         return passing
 
+    def forget(self) -> None:
+        """Keep short parts only."""
+        self.memory = {part: ids for part, ids in self.memory.items() if len(part) <= SHORT_CHARS}
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The bytes of the ids of each text."""
         # the memory holds nothing that refers to anything else: no cycles to look for
@@ -126,10 +133,10 @@ class TextEncoder:
 
     def _encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
-        for _, some in runs(texts):
+        for _, some in runs(texts, CALL_CHARS):
             split = [self._parts(text) for text in some]
             if len(self.memory) > MEMORY_PARTS:
-                self.memory = {}
+                self.forget()
             passing = self._learn(set().union(*split).difference(self.memory))
             if passing:
                 known = self.memory
@@ -138,3 +145,11 @@ class TextEncoder:
                 look = self.memory.__getitem__
                 out.extend([b"".join(map(look, parts)) for parts in split])
         return out
+
+
+def text_encoder(path: str, spaces_count: bool) -> TextEncoder:
+    """The worker's encoder for a vocabulary."""
+    cache, name = worker_cache(), f"encoder {spaces_count} {path}"
+    if name not in cache:
+        cache[name] = TextEncoder(path, spaces_count)
+    return cache[name]
