@@ -36,7 +36,7 @@ BAND_VALUES = 4
 STEP = 16
 TOLERANCE = 1e-6
 # Rows of a tile, before and after pruning; pairs looked at in one go.
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 512
 GROUP_ROWS = 256
 PAIRS = 400_000
 
@@ -252,13 +252,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Of rows that share a key one stays, chosen by a hash of the text. Rows without a key stay.
     """
-    found = near_classes(docs, key, text).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    name = spare_name(docs, "turn")
-    same = Window.partitionBy("_kept_id").orderBy(F.xxhash64(text))
+    kept_id, turn = spare_name(docs, "kept_id"), spare_name(docs, "turn")
+    found = near_classes(docs, key, text).filter("kept and doc_id is not null").select(F.col("doc_id").alias(kept_id)).distinct()
+    same = Window.partitionBy(kept_id).orderBy(F.xxhash64(text))
     chosen = (
-        docs.join(found, docs[key].cast("long") == found["_kept_id"])
-        .withColumn(name, F.row_number().over(same))
-        .filter(F.col(name) == 1)
+        docs.join(found, docs[key].cast("long") == found[kept_id])
+        .withColumn(turn, F.row_number().over(same))
+        .filter(F.col(turn) == 1)
         .select(docs.columns)
     )
     return chosen.unionByName(docs.filter(docs[key].isNull()))
