@@ -123,7 +123,8 @@ def mix(
     """Every row with its place in the mix.
 
     Adds ``mix_source`` (text; a null source is ``null``), ``mix_block`` (number of the block
-    in its source), ``mix_position`` (its slot) and ``mix_row`` (place in the block).
+    in its source), ``mix_position`` (its slot) and ``mix_row`` (place in the block), with
+    an underscore before a name that ``docs`` has already.
     Sorted by position and row, any stretch of rows follows the weights of the
     sources that still have rows. No row is lost or repeated.
 
@@ -144,15 +145,15 @@ def mix(
     block = F.floor(F.col(number) / block_rows).cast("long")
     return numbered.select(
         *docs.columns,
-        F.col(name).alias("mix_source"),
-        block.alias("mix_block"),
-        (_position(F.col(name), block, plan) if plan else F.lit(None).cast("long")).alias("mix_position"),
-        F.pmod(F.col(number), F.lit(block_rows)).cast("int").alias("mix_row"),
+        F.col(name),
+        block.alias(spare_name(docs, "mix_block")),
+        (_position(F.col(name), block, plan) if plan else F.lit(None).cast("long")).alias(spare_name(docs, "mix_position")),
+        F.pmod(F.col(number), F.lit(block_rows)).cast("int").alias(spare_name(docs, "mix_row")),
     )
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows themselves in mixing order, over all partitions in a row."""
-    order = ["mix_position", "mix_row"]
+    order = [spare_name(docs, "mix_position"), spare_name(docs, "mix_row")]
     placed = mix(docs, weights, source, key)
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
