@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.perfect_hash import PerfectHash, fingerprints
 from cohortlake.llm.textarrays import mix
-from cohortlake.llm.token_ids import TextEncoder
+from cohortlake.llm.token_ids import text_encoder
 
 # Keys that one index file covers; bounds the memory of the task that builds it.
 INDEX_KEYS = 250_000
@@ -132,19 +132,20 @@ def write_ids(
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = TextEncoder(tokenizer_path, spaces_count=True)
+        encoder = text_encoder(tokenizer_path, spaces_count=True)
         width = 2 if max(len(encoder.edge), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         parts, lengths, keys, nulls = [], [], [], 0
         for batch in batches:
             texts = [value if isinstance(value, str) else "" for value in batch["text"]]
-            for at in range(0, len(texts), 256):
-                for ids in encoder.encode(texts[at : at + 256]):
+            for at in range(0, len(texts), 1000):
+                for ids in encoder.encode(texts[at : at + 1000]):
                     parts.append(np.frombuffer(ids, dtype="<u4").astype(f"<u{width}").tobytes() + end)
                     lengths.append(len(parts[-1]) // width)
             known = batch["key"].notna()
             nulls += int((~known).sum())
             keys.append(batch["key"][known].to_numpy(dtype="<i8"))
+        encoder.forget()
         starts = np.zeros(len(lengths) + 1, dtype="<u8")
         np.cumsum(lengths, out=starts[1:])
         head = struct.pack(_SHARD_HEAD, _SHARD_MAGIC, width, len(lengths), int(starts[-1]), nulls)
