@@ -38,13 +38,11 @@ CHUNK = 1024
 FOLDS = 32
 
 END, RARE = 0, 1
-_LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-_SPLIT = {ord(c): " " for c in "\t\n\v\f\r"}
 
-
-def tokens(text: str) -> list[str]:
-    """Words between white space, A to Z in lower case."""
-    return [word for word in text.translate(_LOWER | _SPLIT).split(" ") if word]
+def tokens(text: str) -> list[bytes]:
+    """Words between white space in UTF-8, A to Z in lower case."""
+    # lower() and split() of bytes know ASCII only
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 @dataclass(frozen=True)
@@ -191,16 +189,16 @@ def _no_counts(symbols: int, states: int) -> Counts:
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of words in the training texts, summed inside the task as far as memory allows."""
-    held: Counter[str] = Counter()
+    held: Counter[bytes] = Counter()
 
     def given() -> Iterator[pd.DataFrame]:
-        words, counts = list(held.keys()), list(held.values())
+        words, counts = [word.decode() for word in held], list(held.values())
         for at in range(0, len(words), 50_000):
             yield pd.DataFrame({"word": words[at : at + 50_000], "n": counts[at : at + 50_000]})
 
     for batch in batches:
         texts = batch["text"].tolist()
-        held[""] += len(texts)
+        held[b""] += len(texts)
         for _, some in runs(texts):
             held.update(tokens(" ".join(some)))
         if len(held) > 1_500_000:
@@ -209,7 +207,22 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from given()
 
 
-def _encode(ids: dict[str, int]):
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """The most frequent words, equal counts by word.
+
+    Counts are first told apart by size class, so that only the words of the classes
+    needed are sorted and sent, not as many words from each task.
+    """
+    size = F.floor(F.log2("n") * 16)
+    left, least = most, 0
+    for row in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
+        least, left = row["size"], left - row["count"]
+        if left <= 0:
+            break
+    return counts.filter(size >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+
+
+def _encode(ids: dict[bytes, int]):
     """Texts as symbols (unsigned 16 bits, the end last) and their rare words with counts."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +237,7 @@ def _encode(ids: dict[str, int]):
                     words = tokens(text)
                     symbols.append(np.array([ids.get(word, RARE) for word in words] + [END], dtype="<u2").tobytes())
                     rare = Counter([word for word in words if word not in ids])
-                    rare_words.append(list(rare.keys()))
+                    rare_words.append([word.decode() for word in rare])
                     rare_counts.append(list(rare.values()))
                 row = np.arange(number, number + len(some))
                 number += len(some)
@@ -316,8 +329,8 @@ def score(
     )
     tokens_all, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # bounded by the parameter
-    top = counts.filter("word <> ''").orderBy(F.desc("n"), "word").limit(min(frequent, 65_000)).collect()
-    ids = {row["word"]: i + 2 for i, row in enumerate(top)}
+    top = _most_frequent(counts.filter("word <> ''"), min(frequent, 65_000))
+    ids = {row["word"].encode(): i + 2 for i, row in enumerate(top)}
     ends = counts.filter("word = ''").select("n").first()
     known = np.array([ends["n"] if ends else 0, 0, *[row["n"] for row in top]], dtype=np.float64)
 
