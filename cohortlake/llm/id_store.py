@@ -145,7 +145,6 @@ def write_ids(
             known = batch["key"].notna()
             nulls += int((~known).sum())
             keys.append(batch["key"][known].to_numpy(dtype="<i8"))
-        encoder.forget()
         starts = np.zeros(len(lengths) + 1, dtype="<u8")
         np.cumsum(lengths, out=starts[1:])
         head = struct.pack(_SHARD_HEAD, _SHARD_MAGIC, width, len(lengths), int(starts[-1]), nulls)
