@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,3 +29,17 @@ def r_name(name: str) -> str:
     """Column name made valid: odd characters become dots, odd starts get an X."""
     dotted = re.sub(r"[^A-Za-z0-9._]", ".", name)
     return dotted if re.match(r"[A-Za-z]|\.(?![0-9])", dotted) else "X" + dotted
+
+
+def r_names(names: Sequence[str]) -> list[str]:
+    """Valid column names, those that would be equal numbered: ``Hb``, ``Hb.1``."""
+    taken: set[str] = set()
+    out = []
+    for name in map(r_name, names):
+        unique, number = name, 0
+        while unique.lower() in taken:
+            number += 1
+            unique = f"{name}.{number}"
+        taken.add(unique.lower())
+        out.append(unique)
+    return out

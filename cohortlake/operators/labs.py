@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from cohortlake.functions.labels import LAB_SCALE_LABELS, LabelRules, keyword_class
-from cohortlake.functions.values import r_name
+from cohortlake.functions.values import r_names
 from cohortlake.operators.ranks import exact_medians
 from cohortlake.session import cut_lineage
 
@@ -143,12 +143,12 @@ def worst_value_grid(cohort: DataFrame, labs: DataFrame) -> DataFrame:
 
 
 def pivot_wide(long: DataFrame, row: str, name: str, value: str, names: Sequence[str] | None = None) -> DataFrame:
-    """One row per ``row`` and one column per name, column names made valid.
+    """One row per ``row`` and one column per name, column names made valid and unique.
 
     Pass ``names`` to fix the columns and to save the job that looks for them.
     """
     wide = long.groupBy(row).pivot(name, list(names) if names is not None else None).agg(F.max(value))
-    return wide.toDF(*[r_name(column) for column in wide.columns])
+    return wide.toDF(*r_names(wide.columns))
 
 
 def _quoted(name: str):
