@@ -83,17 +83,19 @@ def density_by_group(
     group: str = "Binary_Severity",
     grid_n: int = 512,
     bw: float | None = None,
-    resolution: float = 1.0,
+    resolution: float | None = None,
 ) -> DataFrame:
     """Gaussian kernel density per group on an even grid over all values.
 
-    Values are counted at ``resolution`` first (whole days are exact), so each
-    group is a short list of distinct values and weights. The default bandwidth
-    is 0.9 min(sd, IQR / 1.34) n^(-1/5).
+    Equal values are counted first, so each group is a list of distinct values and
+    weights; ``resolution`` rounds values that are not whole days to keep it short.
+    The default bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5), with the standard deviation
+    where the other is 0, and the absolute value, or 1, where all values are equal.
     """
+    at = F.col(value).cast("double")
     binned = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(F.col(group).alias("group"), (F.round(F.col(value) / resolution) * resolution).alias("x"))
+        .groupBy(F.col(group).alias("group"), (at if resolution is None else F.round(at / resolution) * resolution).alias("x"))
         .agg(F.count(F.lit(1)).alias("w"))
     )
     # a short list by now; read twice, for the groups and for the ends of the grid
@@ -102,15 +104,17 @@ def density_by_group(
     groups = binned.groupBy("group").agg(
         F.sum(w).alias("n"),
         F.sum(w * x).alias("sx"),
-        F.sum(w * x * x).alias("sxx"),
         F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("w")).alias("q"),
         F.collect_list(F.struct("x", "w")).alias("values"),
     )
     ends = binned.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
     n = F.col("n")
-    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("sxx") - F.col("sx") * F.col("sx") / n) / (n - 1)))
+    mean = F.col("sx") / n
+    squares = F.aggregate("values", F.lit(0.0), lambda total, v: total + v["w"] * F.pow(v["x"] - mean, 2.0))
+    sd = F.sqrt(squares / (n - 1))
+    same = F.abs(F.col("values")[0]["x"])
     iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
-    spread = F.when((iqr > 0) & (iqr < F.col("sd")), iqr).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    spread = F.when((iqr > 0) & (iqr < F.col("sd")), iqr).when(F.col("sd") > 0, F.col("sd")).when(same > 0, same).otherwise(1.0)
     width = F.lit(float(bw)) if bw is not None else 0.9 * spread * F.pow(n, F.lit(-0.2))
     sized = (
         groups.filter(n > 1)
