@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPREAD = 64
-
 
 def left_lookup(df: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
     """LEFT JOIN on a key that may be NULL on most rows of ``df``.
@@ -17,7 +15,7 @@ def left_lookup(df: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[
     second key, constant where there is a value, spreads them by the values of
     ``spread_by``, so that a retried task sends each row where it went before.
     """
-    spare = F.when(F.col(key).isNull(), F.pmod(F.hash(*spread_by), F.lit(SPREAD))).otherwise(0)
+    spare = F.when(F.col(key).isNull(), F.hash(*spread_by)).otherwise(0)
     # pmod(.., 1) is always 0 but not a literal, so the second key stays a join key
     right = lookup.withColumn("_spare", F.pmod(F.hash(key), F.lit(1)))
     return df.withColumn("_spare", spare).join(right, [key, "_spare"], "left").drop("_spare")
