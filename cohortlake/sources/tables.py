@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlake.session import PARTITION_BYTES
+
 # Columns the operators name. Other columns pass through.
 SCHEMAS = {
     "condition_occurrence": "person_id string, condition_concept_id int, condition_concept_name string, "
@@ -32,6 +34,10 @@ SCHEMAS = {
 }
 
 
+# Spark's own limit.
+MOST_BUCKETS = 100_000
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored table; fails early, by name, when a needed column is missing."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
@@ -48,14 +54,21 @@ def write_table(df: DataFrame, folder: str, name: str, partition_by: tuple[str,
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/{name}.parquet")
 
 
-def write_bucketed(df: DataFrame, folder: str, name: str, key: str = "person_id", buckets: int = 1024) -> DataFrame:
+def write_bucketed(
+    df: DataFrame, folder: str, name: str, key: str = "person_id", buckets: int | None = None
+) -> DataFrame:
     """Store a table in buckets of the key and return it.
 
     Tables with the same key and number of buckets join and aggregate on it
     without a shuffle, which pays for events that many results read. A bucket is
     one task, so a table in which few persons hold most rows is better left plain.
+    Left out, the number of buckets follows from Spark's estimate of the table's size;
+    give it where tables of different size are to be joined.
     """
     spark = df.sparkSession
+    if buckets is None:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        buckets = min(MOST_BUCKETS, max(1, -(-size // PARTITION_BYTES)))
     # one task writes one bucket, so the files do not multiply
     clustered = df.repartition(buckets, key)
     clustered.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option(
