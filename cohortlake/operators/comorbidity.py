@@ -69,6 +69,7 @@ CHARLSON_WEIGHTS: Mapping[str, int] = {
 }
 # Milder form, then the severe form that replaces it when forms must not add up.
 CHARLSON_HIERARCHY = (("mld", "msld"), ("diab", "diabwc"), ("canc", "metacanc"))
+ELIXHAUSER_HIERARCHY = (("hypunc", "hypc"), ("diabunc", "diabc"), ("solidtum", "metacanc"))
 
 
 def expand_prefixes(text: str) -> list[str]:
@@ -98,23 +99,31 @@ def comorbidity_flags(
     code: str = "combined_concept_code",
     mapping: Mapping[str, str] = CHARLSON_PREFIXES,
     assign0: bool = False,
-    hierarchy: Sequence[tuple[str, str]] = CHARLSON_HIERARCHY,
+    hierarchy: Sequence[tuple[str, str]] | None = None,
     vocabulary: str = "ICD10CM",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per person a 0/1 column for each category; persons without codes are absent.
 
+    With ``assign0`` a mild category is 0 where its severe form is 1, by the pairs of
+    ``hierarchy``; left out, by those of the known maps whose categories ``mapping`` has.
+    ``carry`` names attributes of the person to keep.
+
     One conditional maximum per category over prefix lookups: no join, and the
     shuffle carries one row of flags per person and map task.
     """
     bare = F.upper(F.regexp_replace(code, "[^A-Za-z0-9]", ""))
-    rows = codes.filter(F.col("vocabulary_id") == vocabulary).select(person, bare.alias("_code"))
-    flags = rows.groupBy(person).agg(
+    rows = codes.filter(F.col("vocabulary_id") == vocabulary).select(person, *carry, bare.alias("_code"))
+    flags = rows.groupBy(person, *carry).agg(
         *[
             F.max(F.when(_has_prefix(F.col("_code"), expand_prefixes(prefixes)), 1).otherwise(0)).alias(category)
             for category, prefixes in mapping.items()
         ]
     )
     if assign0:
+        if hierarchy is None:
+            known = (*CHARLSON_HIERARCHY, *ELIXHAUSER_HIERARCHY)
+            hierarchy = [pair for pair in known if set(pair) <= set(mapping)]
         flags = flags.withColumns(
             {mild: F.when(F.col(severe) == 1, 0).otherwise(F.col(mild)) for mild, severe in hierarchy}
         )
@@ -127,8 +136,14 @@ def comorbidity_score(flags: DataFrame, weights: Mapping[str, int] = CHARLSON_WE
     return flags.withColumn("score", total)
 
 
-def score_by_exposure(scores: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Distinct (person, score, has_lsd); exposure flags are made distinct first."""
+def score_by_exposure(scores: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
+    """Distinct (person, score, has_lsd).
+
+    Scores that carry ``has_lsd`` need no conditions and no join; else exposure flags
+    are taken from the conditions and made distinct first.
+    """
+    if conditions is None:
+        return scores.select("person_id", "score", "has_lsd").distinct()
     flags = conditions.select("person_id", "has_lsd").distinct()
     return scores.select("person_id", "score").distinct().join(flags, "person_id", "left")
 

@@ -89,11 +89,12 @@ def death_summary(
     index_date: str = "COVID_first_poslab_or_diagnosis_date",
     severity: str = "severity_type",
 ) -> DataFrame:
-    """One row per deceased cohort member, causes and types as sorted lists.
+    """One row per deceased cohort member, causes and types as lists.
 
-    Repeated records are counted before they are shuffled, so the lists are
-    built from distinct values and their counts. The earliest date and the
-    smallest partner stand for the person.
+    The three lists come from the same records in one order, by cause id, cause name
+    and type, NULLs first and left out. Repeated records are counted before they are
+    shuffled, so the lists are built from distinct records and their counts. The earliest
+    date and the smallest partner stand for the person.
     """
     listed = ("cause_concept_id", "cause_concept_name", "death_type_concept_id")
     counted = (
@@ -107,14 +108,17 @@ def death_summary(
     )
 
     def joined_list(column: str):
-        pairs = F.collect_list(F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), F.col("_n").alias("n"))))
-        repeated = F.transform(F.array_sort(pairs), lambda pair: F.array_repeat(pair["v"].cast("string"), pair["n"]))
+        repeated = F.transform("_records", lambda one: F.array_repeat(one[column].cast("string"), one["_n"]))
         return F.concat_ws(";", F.flatten(repeated)).alias(column)
 
-    people = counted.groupBy("person_id").agg(
-        *[joined_list(column) for column in listed],
-        F.min("death_date").alias("death_date"),
-        F.min("data_partner_id").alias("data_partner_id"),
+    people = (
+        counted.groupBy("person_id")
+        .agg(
+            F.array_sort(F.collect_list(F.struct(*listed, "_n"))).alias("_records"),
+            F.min("death_date").alias("death_date"),
+            F.min("data_partner_id").alias("data_partner_id"),
+        )
+        .select("person_id", *[joined_list(column) for column in listed], "death_date", "data_partner_id")
     )
     offset = F.datediff("death_date", index_date)
     return (

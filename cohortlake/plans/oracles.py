@@ -113,6 +113,10 @@ def _flag_columns(patterns: dict[str, str]) -> str:
 FLAG_COLUMNS = _flag_columns(CHARLSON)
 SCORE = " + ".join(f"{name} * {weight}" for name, weight in WEIGHTS.items())
 
+# The order of a person's death records.
+RECORD_ORDER = """order by cause_concept_id nulls first, cause_concept_name nulls first,
+            death_type_concept_id nulls first"""
+
 # Intermediate results, as named table expressions over the study tables.
 STEPS = {
     "exposure_set": "select * from concept_set_members where codeset_id = 1 and is_most_recent_version",
@@ -186,11 +190,11 @@ STEPS = {
           c.condition_source_concept_id, m.icd_concept_name, m.vocabulary_id, m.concept_code, c.data_partner_id
         from facts f join texts c on c.person_id = f.person_id
           join code_map m on m.concept_code = c.condition_source_value or m.concept_code = c.parsed""",
-    "deaths": """
-        select d.person_id, ifnull(string_agg(cast(cause_concept_id as varchar), ';' order by cause_concept_id), '')
+    "deaths": f"""
+        select d.person_id, ifnull(string_agg(cast(cause_concept_id as varchar), ';' {RECORD_ORDER}), '')
             as cause_concept_id,
-          ifnull(string_agg(cause_concept_name, ';' order by cause_concept_name), '') as cause_concept_name,
-          ifnull(string_agg(cast(death_type_concept_id as varchar), ';' order by death_type_concept_id), '')
+          ifnull(string_agg(cause_concept_name, ';' {RECORD_ORDER}), '') as cause_concept_name,
+          ifnull(string_agg(cast(death_type_concept_id as varchar), ';' {RECORD_ORDER}), '')
             as death_type_concept_id,
           min(d.death_date) as death_date, min(d.data_partner_id) as data_partner_id,
           cast(min(d.death_date) - any_value(f.covid_index_date) as int) as days_diff,
@@ -406,7 +410,7 @@ def oracle_texts() -> dict[str, str]:
         "patient_facts": "select * from facts",
         "demographics": """
             select s.*, race_concept_id, race_concept_name, gender_concept_id, gender_concept_name, month_of_birth,
-              year_of_birth, cast(2002 - year_of_birth - if(month_of_birth > 12, 1, 0) as int) as Age
+              year_of_birth, cast(2002 - year_of_birth - if(month_of_birth > 6, 1, 0) as int) as Age
             from specific s left join person p on p.person_id = s.person_id""",
         "impute_covariates": "select * from covariates",
         "propensity_score_one_factor": """
@@ -456,6 +460,11 @@ def oracle_texts() -> dict[str, str]:
         "logistic_terms": FACTOR_TERMS + """
             select term, round(estimate, 5) as estimate, round(std_error, 5) as std_error,
               round(estimate / std_error, 5) as statistic,
+              (select round(1 - 2 * sum(
+                  exp(-0.5 * pow(abs(estimate / std_error) * i / 4000, 2))
+                    * case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end)
+                * abs(estimate / std_error) / 12000 / sqrt(2 * pi()), 5)
+                from (select unnest(range(4001)) as i)) as p_value,
               round(estimate - 1.959963984540054 * std_error, 5) as conf_low,
               round(estimate + 1.959963984540054 * std_error, 5) as conf_high from terms""",
         "odds_ratios": FACTOR_TERMS + """
@@ -484,8 +493,8 @@ def oracle_texts() -> dict[str, str]:
               select grp, 0.9 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34)
                 * pow(count(*), -0.2) as h, count(*) as n from v group by grp),
             grid_of as (
-              select lo + (hi - lo) * i / 63.0 as g
-              from (select min(x) as lo, max(x) as hi from v), (select unnest(range(64)) as i))
+              select lo + (hi - lo) * i / 511.0 as g
+              from (select min(x) as lo, max(x) as hi from v), (select unnest(range(512)) as i))
             select v.grp as "group", round(g, 8) as x,
               round(sum(exp(-0.5 * pow((g - v.x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) as density
             from grid_of, v join width on width.grp = v.grp group by v.grp, g""",

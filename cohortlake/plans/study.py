@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions.labels import DRUG_LABELS, PROCEDURE_LABELS, hospitalized_label, keyword_class
 from cohortlake.operators import code_mapping, cohort, comorbidity, concept_sets, events, joins, labs, matching
 from cohortlake.operators import regression, survival
-from cohortlake.functions.values import r_name
+from cohortlake.functions.values import r_names
 from cohortlake.operators.concept_sets import ConceptSet
 from cohortlake.operators.ranks import exact_medians
 from cohortlake.session import cut_lineage
@@ -36,6 +36,8 @@ class StudyParameters:
     index_date: str = "COVID_first_poslab_or_diagnosis_date"
     index_range: tuple[str, str] = cohort.INDEX_DATE_RANGE
     study_end: str = events.STUDY_END
+    # the day ages are completed at; the end of the study where it is left out
+    ages_at: str | None = None
     lab_codes: Sequence[str] = labs.LAB_CODES
     lab_name: str = "concept_name"
     hidden_drugs: Sequence[str] = ("baricitinib", "tocilizumab", "prednisolone")
@@ -90,7 +92,7 @@ class Study:
 
     @cached_property
     def demographics(self) -> DataFrame:
-        return cohort.demographics(self.specific_conditions, self.tables["person"], self.params.study_end)
+        return cohort.demographics(self.specific_conditions, self.tables["person"], self.params.ages_at or self.params.study_end)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -160,9 +162,8 @@ class Study:
 
     @cached_property
     def cohort_comorbidity(self) -> DataFrame:
-        flags = comorbidity.comorbidity_flags(self.cohort_conditions, code="concept_code")
-        icd10 = self.cohort_conditions.filter(F.col("vocabulary_id") == "ICD10CM")
-        return comorbidity.score_by_exposure(comorbidity.comorbidity_score(flags), icd10)
+        flags = comorbidity.comorbidity_flags(self.cohort_conditions, code="concept_code", carry=("has_lsd",))
+        return comorbidity.score_by_exposure(comorbidity.comorbidity_score(flags))
 
     # deaths
 
@@ -303,5 +304,5 @@ class Study:
     def lab_matrix(self) -> DataFrame:
         gaps = self.lab_matrix_with_gaps
         medians = exact_medians(self.worst_labs, "name", "worst_value_as_number")
-        columns = {name: r_name(name) for name in self.lab_names}
+        columns = dict(zip(self.lab_names, r_names(self.lab_names), strict=True))
         return labs.impute_median(gaps, list(columns.values()), medians.replace(columns, subset=["name"]))
