@@ -85,8 +85,36 @@ def _padded(total: int, capacity: int) -> int:
     return total if total & (total - 1) == 0 else capacity
 
 
+def number_windows(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """The window of each piece, numbered along the order of the pieces.
+
+    A piece of the full capacity is a window of its own; the others are packed. Packed
+    windows hold pieces from all over: in the order of their means they take the places
+    at which equal shares of these pieces have gone by, so that both kinds of windows
+    come as often as their tokens do.
+    """
+    ends = np.cumsum(lengths)
+    middle = ends - lengths / 2
+    whole = lengths == capacity
+    window = np.zeros(len(lengths), dtype=np.int64)
+    window[whole] = np.arange(np.count_nonzero(whole))
+    places = middle[whole]
+    if not whole.all():
+        rests = lengths[~whole]
+        packed = pack_lengths(rests, capacity)
+        means = np.bincount(packed, weights=rests * middle[~whole]) / np.bincount(packed, weights=rests)
+        along = (np.arange(len(means)) + 0.5) / len(means) * rests.sum()
+        spread = np.empty(len(means))
+        spread[np.argsort(means, kind="stable")] = np.interp(along, np.cumsum(rests) - rests / 2, middle[~whole])
+        window[~whole] = packed + len(places)
+        places = np.concatenate([places, spread])
+    rank = np.empty(len(places), dtype=np.int64)
+    rank[np.argsort(places, kind="stable")] = np.arange(len(places))
+    return rank[window]
+
+
 class _Packer:
-    """Windows of one partition: full ones at once, the rests in groups."""
+    """Windows of one partition in groups, numbered along its rows."""
 
     def __init__(self, partition: int, capacity: int, piece: int, group_windows: int) -> None:
         self.capacity, self.piece, self.group_windows = capacity, piece, group_windows
@@ -97,31 +125,28 @@ class _Packer:
     def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple]:
         total = len(ids) // 4
         start = 0
-        while total - start >= self.capacity:
-            part = ids[4 * start : 4 * (start + self.capacity)]
-            yield doc_id, start, self.capacity, part, total, self.next, 0, self.capacity
-            self.next += 1
-            start += self.capacity
         while start < total:
-            length = min(self.piece, total - start)
+            left = total - start
+            length = self.capacity if left >= self.capacity else min(self.piece, left)
             self.waiting.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], total))
             self.waiting_ids += length
             start += length
-        if self.waiting_ids >= self.group_windows * self.capacity:
-            yield from self.flush()
+            if self.waiting_ids >= self.group_windows * self.capacity:
+                yield from self.flush()
 
     def flush(self) -> Iterator[tuple]:
         if not self.waiting:
             return
         lengths = np.array([one[2] for one in self.waiting], dtype=np.int64)
-        window = pack_lengths(lengths, self.capacity)
-        filled = np.zeros(int(window.max()) + 1, dtype=np.int64)
-        sums = np.bincount(window, weights=lengths).astype(np.int64)
-        for one, number in zip(self.waiting, window.tolist(), strict=True):
-            padded = _padded(int(sums[number]), self.capacity)
-            yield (*one, self.next + number, int(filled[number]), padded)
+        window = number_windows(lengths, self.capacity)
+        sums = np.bincount(window, weights=lengths).astype(np.int64).tolist()
+        filled = [0] * len(sums)
+        for i in np.argsort(window, kind="stable").tolist():
+            one, number = self.waiting[i], int(window[i])
+            padded = self.capacity if one[2] == self.capacity else _padded(sums[number], self.capacity)
+            yield (*one, self.next + number, filled[number], padded)
             filled[number] += one[2]
-        self.next += len(filled)
+        self.next += len(sums)
         self.waiting, self.waiting_ids = [], 0
 
 
@@ -143,8 +168,9 @@ def pack(
     window is padded to: the capacity, or nothing where its sum is a power of two.
 
     A document's full windows stand alone; its rest is cut into pieces and packed
-    with the rests of the same partition, a group of ``group_windows`` at a time.
-    Nothing is shuffled, a hot source or very long document meets no limit, and a
+    with the rests of the same partition, a group of ``group_windows`` at a time, full
+    windows included. Windows are numbered along the partitions and, group by group, along
+    the rows, so that sorted rows give windows in their order. Nothing is shuffled, a hot source or very long document meets no limit, and a
     task that is run again gives the same windows for the same rows.
 
     A null text is empty and gives its end id alone. Null and repeated keys are

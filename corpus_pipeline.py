@@ -42,8 +42,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in windows of 2048, in the order of the mix."""
-    return packing.pack(docs, str(public_tokenizers.path(TOKENIZER)))
+    """Pieces of token ids in windows of 2048, numbered in the order of the mix.
+
+    Files are not read in the order they were written in, so the order, which follows
+    from the keys and sources, is made again.
+    """
+    ordered = mixing.mixed(docs.select("doc_id", "source", "text"))
+    return packing.pack(ordered, str(public_tokenizers.path(TOKENIZER)))
 
 
 STAGES = [

@@ -55,6 +55,35 @@ def test_odd_documents(spark, odd_docs, no_docs, small_dir, tmp_path):
         assert kept - {10} == ({1, 8, 9, 11, 12, None} if label == "odd" else set())
 
 
+def test_windows_follow_the_mix(spark, tmp_path):
+    """Sources lie in files of their own; growing numbers of windows keep the sources' shares."""
+    # weights are 2 to 1: until b runs out after 640 documents of a, every stretch holds a third of it
+    docs = [(i, ("apple tree " if i % 5 else "brown fox ") * (1300 if i % 3 else 40)) for i in range(1600)]
+    rows = [(i, text, "en", "a" if i % 5 else "b", len(text)) for i, text in docs]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.repartition(6, "source").write.parquet(f"{tmp_path}/docs")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+        mixed.write.parquet(f"{tmp_path}/mixing")
+        made = corpus_pipeline.pack_windows(spark, spark.read.parquet(f"{tmp_path}/mixing"), "")
+        pieces = made.select("doc_id", "length", "sequence_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({r["sequence_id"] >> 36 for r in pieces}) > 1
+    pieces.sort(key=lambda r: r["sequence_id"])
+    total = sum(r["length"] for r in pieces)
+    tokens, at = defaultdict(Counter), 0
+    for r in pieces:
+        tokens[10 * at // total][r["doc_id"] % 5 == 0] += r["length"]
+        at += r["length"]
+    share = [tokens[i][True] / tokens[i].total() for i in range(10)]
+    assert all(abs(one - 1 / 3) < 0.06 for one in share[:5]) and max(share[7:]) < 0.06
+
+
 def test_workers_need_no_installed_package(small_dir, tmp_path):
     """Started elsewhere, Python workers cannot import the package by its folder."""
     repo = Path(__file__).resolve().parents[2]
