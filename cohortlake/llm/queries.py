@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import hidden_markov, id_store, jaccard_join, language_id, lattice, mixing, packing, personal_data, quality, sharding
-from cohortlake.llm.common import shared_folder
+from cohortlake.llm import block_search, hidden_markov, id_store, jaccard_join, language_id, lattice, mixing, packing
+from cohortlake.llm import personal_data, prefix_trie, quality, sharding, vector_codes
+from cohortlake.llm.common import shared_folder, stored
+from cohortlake.llm.oracles import llm_oracles
+
+__all__ = ["llm_oracles", "llm_queries"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +85,23 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = stored(prefix_trie.paths(_table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(own))
+
+
+def op12_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.top_k(_table(spark, sf_dir, "embeddings"), lambda ids: ids % 20 == 0, 20)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    totals = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    joined = coded.join(totals, F.col("label").eqNullSafe(F.col("of")))
+    return joined.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,10 +121,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": op8_personal_data,
         "op9_quality_rules": op9_quality_rules,
         "op10_lattice": op10_lattice,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_block_search": op12_block_search,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
     }
-
-
-def llm_oracles() -> dict[str, str]:
-    """SQL for those that SQL can express."""
-    return {}
