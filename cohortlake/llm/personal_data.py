@@ -9,6 +9,7 @@ parsers never look at the text between anchors.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -23,7 +24,12 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
 # Words that announce an account or identity number.
 CUES = ("iban", "account", "acct", "passport", "ssn")
+# Blanks and marks between the cue and an international number.
 CUE_REACH = 16
+# Letters and digits of an international number, at least and at most.
+IBAN_SIZE = (15, 34)
+# Characters of any other number that are looked at, before and behind its first digit.
+NUMBER_REACH = 40
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = frozenset("0123456789")
@@ -32,6 +38,7 @@ _LOCAL = _HOST | frozenset("._%+")
 _PHONE = _DIGITS | frozenset(" ().-")
 _USER = _LOCAL | frozenset("~!$&'()*,;=:")
 _GAP = frozenset(" :#.-\t")
+_BETWEEN = _GAP | frozenset(",'\"()/")
 
 Span = tuple[int, int, int]
 
@@ -45,9 +52,36 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def iban(text: str) -> bool:
-    """The check of international account numbers: 97 divides all but one."""
-    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+def iban_end(text: str, start: int) -> int:
+    """Where the longest international account number at ``start`` ends; ``start`` if there is none.
+
+    The first four characters move behind the others, and 97 must divide the number so
+    formed with a rest of one. The rest follows the characters as they are read, blanks
+    apart, so no more than 34 of them are.
+    """
+    head, rest, count, at, found = [], 0, 0, start, start
+    while at < len(text) and count < IBAN_SIZE[1]:
+        char = text[at]
+        at += 1
+        if char == " ":
+            continue
+        if char not in _HOST or char == "-":
+            break
+        value = int(char, 36)
+        count += 1
+        if count <= 4:
+            if (count <= 2 and not char.isupper()) or (count > 2 and char not in _DIGITS):
+                break
+            head.append(value)
+            continue
+        rest = (rest * (100 if value > 9 else 10) + value) % 97
+        if count >= IBAN_SIZE[0]:
+            whole = rest
+            for first in head:
+                whole = whole * (100 if first > 9 else 10) + first
+            if whole % 97 == 1:
+                found = at
+    return found
 
 
 def _run(text: str, at: int, allowed: frozenset[str]) -> int:
@@ -68,13 +102,14 @@ class Finder:
         for digit in _DIGITS:
             self.automaton.add_word(digit, "0")
         for cue in CUES:
-            for spelling in (cue, cue.upper(), cue.capitalize()):
-                self.automaton.add_word(spelling, cue)
+            for spelling in itertools.product(*[(c, c.upper()) for c in cue]):
+                self.automaton.add_word("".join(spelling), cue)
         self.automaton.make_automaton()
 
     def __call__(self, text: str) -> list[Span]:
         out: list[Span] = []
         ends = [0] * len(KINDS)
+        self.walked = (0, -1)
         # where chains of digits that have been read end
         dotted = chained = 0
         for last, mark in self.automaton.iter(text):
@@ -169,32 +204,64 @@ class Finder:
         out.append((start, end, 4))
         return end
 
+    def _ahead(self, text: str, at: int) -> int:
+        """The first place from ``at`` on that is neither letter nor gap, or ends the sentence.
+
+        A walk that passes over further cues is not made again for them.
+        """
+        if not self.walked[0] <= at <= self.walked[1]:
+            stop = at
+            while stop < len(text) and (text[stop] in _BETWEEN or text[stop].isalpha()):
+                if text[stop : stop + 2] == ". " and text[stop + 2 : stop + 3].isupper() and text[stop + 3 : stop + 4].islower():
+                    break
+                stop += 1
+            self.walked = (at, stop)
+        return self.walked[1]
+
     def _account(self, text: str, last: int, free: int, cue: str, out: list[Span]) -> int:
-        """A number behind a cue, with little but letters and gaps between."""
+        """The first number behind a cue on its line, nothing but words and gaps between.
+
+        Passport and account numbers may hold letters.
+        """
         first = last + 1 - len(cue)
         if first and text[first - 1].isalnum() or last + 1 < len(text) and text[last + 1].isalnum():
             return free
-        start = last + 1
-        limit = min(len(text), start + CUE_REACH)
-        while start < limit and (text[start] in _GAP or text[start].isalpha() and cue != "iban"):
-            start += 1
-        if start < free or start >= len(text):
-            return free
         if cue == "iban":
-            end = _run(text, start, _HOST | frozenset(" ")) if text[start : start + 2].isupper() else start
-            for stop in range(end, start + 14, -1):
-                plain = text[start:stop].replace(" ", "")
-                if text[stop - 1] != " " and 15 <= len(plain) <= 34 and plain.isascii() and plain.isalnum() and plain[2:4].isdigit() and iban(plain):
-                    out.append((start, stop, 5))
-                    return stop
+            start = last + 1
+            limit = min(len(text), start + CUE_REACH)
+            while start < limit and text[start] in _GAP:
+                start += 1
+            end = iban_end(text, start) if start >= free else start
+        else:
+            start = self._ahead(text, last + 1)
+            if start < free or text[start : start + 1] not in _DIGITS:
+                return free
+            end = self._ssn_end(text, start) if cue == "ssn" else start
+            if end == start:
+                start, end = self._number(text, max(last + 1, free, start - NUMBER_REACH), start)
+        if end == start:
             return free
-        end = start
-        while end < len(text) and (text[end] in _DIGITS or text[end] == "-" and text[end + 1 : end + 2] in _DIGITS):
+        out.append((start, end, 5))
+        return end
+
+    def _ssn_end(self, text: str, start: int) -> int:
+        """Three, two and four digits with a blank or hyphen between."""
+        some = text[start : start + 12]
+        shape = "".join("0" if c in _DIGITS else "-" if c in " -" else c for c in some)
+        return start + 11 if shape[:11] == "000-00-0000" and shape[11:] != "0" else start
+
+    def _number(self, text: str, least: int, digit: int) -> tuple[int, int]:
+        """The word of letters, digits and inner hyphens around a digit, if it can be a number."""
+        start, end = digit, digit
+        while start > least and text[start - 1] in _HOST and text[start - 1] != "-":
+            start -= 1
+        most = min(len(text), digit + NUMBER_REACH)
+        while end < most and (text[end] in _HOST and (text[end] != "-" or text[end + 1 : end + 2] in _DIGITS)):
             end += 1
-        if 7 <= sum(c in _DIGITS for c in text[start:end]) <= 17 or cue == "ssn" and end - start == 9:
-            out.append((start, end, 5))
-            return end
-        return free
+        plain = text[start:end].replace("-", "")
+        digits = sum(c in _DIGITS for c in plain)
+        good = 7 <= len(plain) <= 17 and (digits >= 5 or digits >= 3 and plain.isupper())
+        return (start, end) if good and (end == len(text) or text[end] not in _HOST or text[end] == "-") else (digit, digit)
 
 
 def listed(spans: Sequence[Span]) -> str:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -411,3 +412,29 @@ def test_odd_scores(spark, odd_docs, odd_rows, no_docs):
     untrained = hidden_markov.score(odd_docs, F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in untrained)
     assert hidden_markov.score(no_docs, F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("account number for payments: 12345678", "account:29:37"),
+        ("Passport C01X00T47", "account:9:18"),
+        ("your account X1234567, thanks", "account:13:21"),
+        ("SSN 123 45 6789", "account:4:15"),
+        ("iBaN DE89370400440532013000", "account:5:27"),
+        ("Account closed. Call 1234567", ""),
+        ("account\n1234567", ""),
+        ("passport of 1999", ""),
+    ],
+)
+def test_numbers_behind_cues(text, span):
+    assert personal_data.listed(personal_data.Finder()(text)) == span
+
+
+@pytest.mark.parametrize(
+    "text", ["IBAN " * 200_000, "iban " + "AB " * 300_000, "account " * 130_000, "account " + "word and " * 110_000, "iban DE89" + " " * 900_000]
+)
+def test_long_texts_of_cues_take_linear_time(text):
+    start = time.process_time()
+    assert personal_data.Finder()(text) == []
+    assert time.process_time() - start < 10
