@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Sub-buckets per group when rows are numbered; bounds the rows one task must sort.
 NUMBER_BUCKETS = 4096
+# Bytes of an Arrow batch; decoded texts and what is worked out from them take several times as much.
+BATCH_BYTES = 8 << 20
 
 
 def worker_cache() -> dict:
@@ -35,6 +37,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold what a Python worker gets at a time to ``BATCH_BYTES`` of texts; a smaller setting stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(setting).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 

@@ -39,6 +39,9 @@ TOLERANCE = 1e-6
 BUCKET_ROWS = 512
 GROUP_ROWS = 256
 PAIRS = 400_000
+# Bytes of shingle hashes in a block of a tile, and in the tiles verified in one go.
+BLOCK_BYTES = 4 << 20
+BYTES = 8 << 20
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -160,20 +163,24 @@ def _overlaps(ids: np.ndarray, edges: np.ndarray, left: np.ndarray, right: np.nd
     return out
 
 
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted distinct shingle hashes in place of the texts."""
+    hasher = Hasher()
+    for batch in batches:
+        hashes = []
+        for _, some in runs(batch["text"].tolist()):
+            values, owner = shingles(some, hasher)
+            edges = np.searchsorted(owner, np.arange(len(some) + 1))
+            hashes += [np.unique(values[a:b]).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        yield batch.drop(columns="text").assign(hashes=hashes)
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     needed = least_matches()
-    hasher = Hasher()
-    for frame, sizes in whole_tiles(batches, ["component", "low", "high"], PAIRS):
-        values, owner = [], []
-        for at, some in runs(frame["text"].tolist()):
-            found, texts = shingles(some, hasher)
-            values.append(found)
-            owner.append(texts + at)
-        distinct, ids = np.unique(np.concatenate(values), return_inverse=True)
-        cells = np.unique(np.concatenate(owner) * len(distinct) + ids)
-        ids = cells % max(len(distinct), 1)
-        edges = np.searchsorted(cells, np.arange(len(frame) + 1) * len(distinct))
-        count = np.diff(edges)
+    for frame, sizes in whole_tiles(batches, ["component", "low", "high"], PAIRS, "hashes", BYTES):
+        count = frame["hashes"].str.len().to_numpy(dtype=np.int64) // 8
+        edges = np.concatenate([[0], np.cumsum(count)])
+        ids = np.unique(np.frombuffer(b"".join(frame["hashes"]), dtype=np.uint64), return_inverse=True)[1].astype(np.int32)
         copies = frame["copies"].to_numpy()
         links = np.zeros(len(frame), dtype=np.int64)
         lefts, rights = [], []
@@ -225,11 +232,17 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     edges = tiled(in_buckets, "bucket", "rows", "id", BUCKET_ROWS).select("bucket", "low", "high", "block", "id", "sketch")
     groups = stored(components(edges.mapInPandas(_bucket_edges, "a long, b long")), "groups")
 
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
-    grouped = groups.join(sizes, "component").join(first.select("id", "copies", "sketch"), "id")
+    grouped = groups.join(first.select("id", "copies", "sketch"), "id")
     with_text = grouped.join(known.filter("text is not null"), grouped["id"] == known["doc_id"])
-    checked = tiled(with_text, "component", "rows", "id", GROUP_ROWS).select(
-        "component", "low", "high", "block", "id", "copies", "sketch", "text"
+    hashed = stored(
+        with_text.select("component", "id", "copies", "sketch", "text").mapInPandas(
+            _hashed, "component long, id long, copies long, sketch binary, hashes binary"
+        ),
+        "hashes",
+    )
+    sizes = hashed.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("hashes")).alias("bytes"))
+    checked = tiled(hashed.join(sizes, "component"), "component", "rows", "id", GROUP_ROWS, "bytes", BLOCK_BYTES).select(
+        "component", "low", "high", "block", "id", "copies", "sketch", "hashes"
     )
     links = stored(checked.mapInPandas(_verified, "id long, links long, root long"), "links")
     joined = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))

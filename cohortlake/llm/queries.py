@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm import block_search, hidden_markov, id_store, jaccard_join, language_id, lattice, mixing, packing
 from cohortlake.llm import personal_data, prefix_trie, quality, sharding, vector_codes
-from cohortlake.llm.common import shared_folder, stored
+from cohortlake.llm.common import bounded_batches, shared_folder, stored
 from cohortlake.llm.oracles import llm_oracles
 
 __all__ = ["llm_oracles", "llm_queries"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,16 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tiled(df: DataFrame, group: str, size: str, member: str, limit: int) -> DataFrame:
+def tiled(
+    df: DataFrame, group: str, size: str, member: str, limit: int, weight: str | None = None, weight_limit: int = 1
+) -> DataFrame:
     """Rows dealt to tiles of about two times ``limit`` rows, sorted by tile in each partition.
 
+    ``weight``, the bytes of the group, bounds the bytes of a tile in the same way.
+
     ``size`` holds the group's number of rows. A group within the limit is one tile. A
     larger one is cut into blocks by a hash of the member, and each pair of blocks is
     a tile, so that a row is repeated once per block, not once per partner. Adds
     ``tile`` (a hash of group and blocks), ``block`` and ``other``; in a tile of two
     blocks only pairs across them count.
     """
-    blocks = F.ceil(F.col(size) / limit).cast("int")
+    blocks = F.ceil(F.col(size) / limit)
+    if weight is not None:
+        blocks = F.least(F.col(size), F.greatest(blocks, F.ceil(F.col(weight) / weight_limit)))
+    blocks = blocks.cast("int")
     mine = F.pmod(F.xxhash64(member, F.lit("block")), blocks).cast("int")
     dealt = df.withColumn("block", mine).withColumn("_at", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return (
@@ -43,9 +50,12 @@ def tile_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-def whole_tiles(batches: Iterator[pd.DataFrame], keys: Sequence[str], most_pairs: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+def whole_tiles(
+    batches: Iterator[pd.DataFrame], keys: Sequence[str], most_pairs: int, heavy: str | None = None, most_bytes: int = 1
+) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Rows of whole tiles with the tiles' sizes, about ``most_pairs`` pairs at a time.
 
+    Where a column ``heavy`` is named, its bytes are held to about ``most_bytes`` as well.
     The rows must come sorted by tile; a tile that a batch cuts is joined again.
     """
     rest: list[pd.DataFrame] = []
@@ -58,10 +68,14 @@ def whole_tiles(batches: Iterator[pd.DataFrame], keys: Sequence[str], most_pairs
         starts = np.flatnonzero(new)
         sizes = np.diff(starts, append=len(frame))
         pairs = np.cumsum(sizes * (sizes - 1) // 2)
+        weight = np.zeros(len(sizes), dtype=np.int64)
+        if heavy is not None and len(sizes):
+            weight = np.cumsum(np.add.reduceat(frame[heavy].str.len().to_numpy(dtype=np.int64), starts))
         at = 0
         while at < len(sizes):
             done = pairs[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(pairs, done + most_pairs, side="right")))
+            end = int(np.searchsorted(pairs, done + most_pairs, side="right"))
+            end = max(at + 1, min(end, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + most_bytes, side="right"))))
             last = starts[end] if end < len(starts) else len(frame)
             yield frame.iloc[starts[at] : last].reset_index(drop=True), sizes[at:end]
             at = end

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cohortlake.llm import jaccard_join, lattice, queries, tiles
@@ -196,3 +197,34 @@ def test_odd_vectors(spark):
 def test_query(spark, small_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{small_dir}/embeddings.parquet").collect()]
     check_vectors(queries.op10_lattice(spark, small_dir).collect(), rows)
+
+
+def test_tiles_are_bounded_by_bytes(spark):
+    """A group of long texts is cut by its bytes, each pair of its rows still in exactly one tile."""
+    rows = [(1, i, 12, 12 * 1000) for i in range(12)] + [(2, i, 3, 30) for i in range(3)]
+    df = spark.createDataFrame(rows, "component long, id long, rows long, bytes long")
+    found = {}
+    for row in tiles.tiled(df, "component", "rows", "id", 256, "bytes", 2500).collect():
+        found.setdefault((row.component, row.low, row.high), []).append((row.block, row.id))
+    seen = {}
+    for (component, low, high), members in found.items():
+        for (block, one), (other_block, other) in combinations(members, 2):
+            if low == high or block != other_block:
+                seen[component, min(one, other), max(one, other)] = seen.get((component, min(one, other), max(one, other)), 0) + 1
+    wanted = {(1, a, b) for a, b in combinations(range(12), 2)} | {(2, a, b) for a, b in combinations(range(3), 2)}
+    assert set(seen) == wanted and set(seen.values()) == {1}
+    assert len([t for t in found if t[0] == 1]) > 3 and len([t for t in found if t[0] == 2]) == 1
+
+
+def test_frames_are_bounded_by_bytes():
+    frame = pd.DataFrame({"component": [1, 1, 2, 2, 3, 3, 4, 4], "low": 0, "high": 0, "hashes": [b"x" * 100] * 8})
+    cut = [len(f) for f, _ in tiles.whole_tiles(iter([frame.iloc[:3], frame.iloc[3:]]), ["component", "low", "high"], 10**6, "hashes", 450)]
+    assert cut == [2, 4, 2]
+
+
+def test_long_near_copies(spark):
+    """Long texts of one class: hashes, not texts, meet in the tiles."""
+    words = [f"w{i % 5003}" for i in range(40_000)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(40)]
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: (0, 39) for i in range(40)}
