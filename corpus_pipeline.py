@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlake.llm import jaccard_join, language_id, mixing, packing, personal_data
-from cohortlake.llm.common import stored
+from cohortlake.llm.common import bounded_batches, stored
 
 # A text goes if fewer of its letter n-grams than this belong to its language.
 LEAST_LANGUAGE_SCORE = 0.1
@@ -65,6 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written before the next reads it."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
