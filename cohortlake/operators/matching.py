@@ -11,6 +11,14 @@ on what blocks before it took; all blocks are played at once against the last
 known state and replayed until nothing changes, which gives the same result as
 playing them one after the other. A task sees one block and the nearest free
 controls around it, never a whole stratum.
+
+What blocks before it took is foreseen for the first play from one line per block,
+how many are wanted and how many are there. As turns go from high to low, the controls
+taken below a block are always a run without gaps from the block's upper end on: a
+control can only be taken from above once all those over it are gone. So a count tells
+which they are, and where exposed outnumber controls, wants that a block cannot meet
+pass like open brackets to the blocks after it. Long stretches of such blocks are right
+at the first play, and a block that finds nothing free around it gets nothing sent.
 """
 
 from __future__ import annotations
@@ -20,9 +28,9 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from cohortlake.operators.ranks import GROUP_LIMIT, running_total
 from cohortlake.session import cut_lineage
@@ -74,38 +82,96 @@ def _play_turns(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(takes, columns=["score_t", "start_t", "score_c", "start_c", "n", "home"])
 
 
+class _Shelf:
+    """Free controls by block, with the next block that has any in both directions."""
+
+    def __init__(self, present: list[int]) -> None:
+        self.present, self.left = present, list(present)
+        # places are shifted by one, so that both ends are places as well
+        self.after, self.before = list(range(len(present) + 2)), list(range(len(present) + 2))
+        for block, count in enumerate(present):
+            if not count:
+                self._close(block)
+
+    def _close(self, block: int) -> None:
+        self.after[block + 1], self.before[block + 1] = block + 2, block
+
+    def _seek(self, links: list[int], place: int) -> int:
+        path = []
+        while links[place] != place:
+            path.append(place)
+            place = links[place]
+        for passed in path:
+            links[passed] = place
+        return place - 1
+
+    def from_(self, block: int) -> int:
+        """The first block from this one on with a free control; the number of blocks if there is none."""
+        return self._seek(self.after, block + 1)
+
+    def upto(self, block: int) -> int:
+        """The last block up to this one with a free control; -1 if there is none."""
+        return self._seek(self.before, block + 1)
+
+    def take(self, block: int, count: int) -> None:
+        self.left[block] -= count
+        if not self.left[block]:
+            self._close(block)
+
+    def meet(self, block: int, wanted: int) -> None:
+        """Take what a block wants from itself and those after it, then from those before."""
+        for seek in (lambda: self.from_(block), lambda: self.upto(block - 1)):
+            at = seek()
+            while wanted and 0 <= at < len(self.present):
+                count = min(wanted, self.left[at])
+                self.take(at, count)
+                wanted -= count
+                at = seek()
+
+
+def _around(shelf: _Shelf, block: int, wanted: int) -> list[tuple[int, int]]:
+    """Blocks that can hold the nearest free controls of a block, and how many of theirs are gone."""
+    found = []
+    for at, step in ((shelf.from_(block + 1), 1), (shelf.upto(block - 1), -1)):
+        missing = wanted
+        while missing > 0 and 0 <= at < len(shelf.present):
+            found.append((at, shelf.present[at] - shelf.left[at]))
+            missing -= shelf.left[at]
+            at = shelf.from_(at + 1) if step > 0 else shelf.upto(at - 1)
+    return found
+
+
 def _neighbours(blocks: DataFrame, takes: DataFrame | None, since: dict) -> list[tuple]:
     """For each block to play: the other blocks that can hold its nearest free controls.
 
     Works on one line per block, the totals of wanted, present and taken, and
-    only for strata that have more than one block.
+    only for strata that have more than one block. Each link also says how many
+    controls of the other block, and of the block itself, are gone before its play.
+    Without ``takes`` these are foreseen.
     """
     wide = blocks.filter("block > 0").select("stratum").distinct()
     totals = blocks.join(wide, "stratum", "left_semi").groupBy("stratum", "block").agg(F.sum("n_c"), F.sum("n_t"))
     present, wants = defaultdict(dict), defaultdict(dict)
     for stratum, block, controls, exposed in totals.toLocalIterator():
         present[stratum][block], wants[stratum][block] = controls, exposed
-    taken_before = defaultdict(list)
+    taken = defaultdict(list)
     if takes is not None:
-        taken = takes.join(wide, "stratum", "left_semi").groupBy("stratum", "block", "home").agg(F.sum("n"))
-        for stratum, block, home, n in taken.toLocalIterator():
-            taken_before[stratum, home].append((block, n))
+        sums = takes.join(wide, "stratum", "left_semi").groupBy("stratum", "block", "home").agg(F.sum("n"))
+        for stratum, block, home, n in sums.toLocalIterator():
+            taken[stratum, block].append((home, n))
     links = []
     for stratum, exposed_by_block in wants.items():
         last = max(exposed_by_block)
-        for block, exposed in exposed_by_block.items():
-            if not exposed or block <= since.get(stratum, last):
-                continue
-            for side in (range(block - 1, -1, -1), range(block + 1, last + 1)):
-                missing = exposed
-                for home in side:
-                    gone = sum(n for by, n in taken_before[stratum, home] if by < block)
-                    found = present[stratum].get(home, 0) - gone
-                    if found > 0:
-                        links.append((stratum, home, block))
-                        missing -= found
-                    if missing <= 0:
-                        break
+        shelf = _Shelf([present[stratum][block] for block in range(last + 1)])
+        for block in range(last + 1):
+            exposed = exposed_by_block[block]
+            if exposed and block > since.get(stratum, last):
+                links.append((stratum, block, block, shelf.present[block] - shelf.left[block]))
+                links += [(stratum, home, block, gone) for home, gone in _around(shelf, block, exposed)]
+            if takes is None:
+                shelf.meet(block, exposed)
+            for home, n in taken[stratum, block]:
+                shelf.take(home, n)
     return links
 
 
@@ -116,18 +182,24 @@ def _play_round(blocks: DataFrame, takes: DataFrame | None, since: dict) -> Data
     """
     spark = blocks.sparkSession
     stratum, whole = blocks.schema["stratum"], IntegerType()
-    linked = StructType([stratum, StructField("home", whole), StructField("block", whole)])
+    linked = StructType([stratum, StructField("home", whole), StructField("block", whole), StructField("gone", LongType())])
     links = spark.createDataFrame(_neighbours(blocks, takes, since), linked)
     homes = blocks.withColumnRenamed("block", "home")
     if takes is None:
-        own = homes.withColumn("block", F.col("home"))
-        rows = own.unionByName(homes.join(links, ["stratum", "home"])).withColumn("used", F.lit(0).cast("long"))
+        # strata of one block have no links; elsewhere the first controls of a block are those foreseen to be gone
+        single = homes.join(links.select("stratum").distinct(), "stratum", "left_anti").withColumn("block", F.col("home"))
+        above = Window.partitionBy("stratum", "home").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+        over = F.coalesce(F.sum("n_c").over(above), F.lit(0))
+        near = homes.withColumn("over", over).join(links, ["stratum", "home"])
+        used = F.least("n_c", F.greatest(F.col("gone") - F.col("over"), F.lit(0)))
+        rows = single.withColumn("used", F.lit(0).cast("long")).unionByName(near.withColumn("used", used.cast("long")).drop("over", "gone"))
     else:
+        links = links.filter("home <> block").drop("gone")
         marks = spark.createDataFrame(list(since.items()), StructType([stratum, StructField("since", whole)]))
         playing = homes.join(marks, "stratum")
         own = playing.filter("home > since").withColumn("block", F.col("home")).drop("since")
         rows = own.unionByName(homes.join(links, ["stratum", "home"]))
-        own_links = own.select(*linked.names).distinct()
+        own_links = own.select(*links.columns).distinct()
         gone = (
             takes.withColumnRenamed("block", "by")
             .join(links.unionByName(own_links), ["stratum", "home"])

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from cohortlake.operators import matching
 from cohortlake.operators.matching import match_nearest
 from cohortlake.plans.queries import study
 
@@ -116,3 +117,38 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 assert driver.queries()["match_nearest"](spark, {small_dir!r}).count() > 0
 """
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300)
+
+
+@pytest.mark.parametrize("seed, ratio", [(1, 20), (2, 20), (3, 3), (4, 1)])
+def test_more_exposed_than_controls(spark, monkeypatch, seed, ratio):
+    """Many blocks of unmet wants: few plays, and what is sent grows with the blocks alone."""
+    rnd = random.Random(seed)
+    rows = [(f"p{i:04d}", 1, int(rnd.random() < ratio / (ratio + 1)), float(rnd.randint(0, 10**6))) for i in range(960)]
+    plays = []
+    around = matching._neighbours
+
+    def counted(blocks, takes, since):
+        links = around(blocks, takes, since)
+        plays.append(len(links))
+        return links
+
+    monkeypatch.setattr(matching, "_neighbours", counted)
+    got = matched_pairs(match_nearest(spark.createDataFrame(rows, SCHEMA), block_rows=40))
+    assert got == play(rows)
+    assert plays[0] <= 6 * 24
+    if ratio == 20:
+        assert len(plays) <= 4 and max(plays) <= 4 * 24
+
+
+def test_wants_pass_to_later_blocks():
+    shelf = matching._Shelf([0, 3, 1, 0, 4])
+    shelf.meet(0, 5)
+    assert shelf.left == [0, 0, 0, 0, 3] and shelf.from_(0) == 4 and shelf.upto(3) == -1
+    assert matching._around(shelf, 2, 1) == [(4, 1)]
+    shelf.meet(4, 2)
+    shelf.meet(4, 2)
+    assert shelf.left == [0] * 5 and shelf.from_(0) == 5 and shelf.upto(4) == -1
+    assert matching._around(shelf, 2, 9) == []
+    before = matching._Shelf([2, 2, 0])
+    before.meet(2, 3)
+    assert before.left == [1, 0, 0]
