@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import RFormula
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.session import cut_lineage
 
+# Executors need not have this package installed: its functions travel with their tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_PATTERNS = 200_000
+# Steps towards profile bounds, the largest move of a coefficient in a step, and the
+# size beyond which a coefficient counts as infinite.
+PROFILE_STEPS = 60
+MOST_MOVE = 2.0
+INFINITE = 50.0
+FAR = 12.0
+FLAT = 1e-9
 
 
 def _fit(df: DataFrame, label: str, features: Sequence[str]):
@@ -63,6 +78,24 @@ def propensity_score(df: DataFrame, treat: str = "has_lsd", covariates: Sequence
     return df.join(scores, list(covariates), "left").select(*df.columns, "score")
 
 
+def score_equations(df: DataFrame, outcome: str, score: str, features: Sequence[str]) -> DataFrame:
+    """Sums of the outcome and of its fitted probability, each weighted by every term: ``term, observed, fitted``.
+
+    A logistic fit with an intercept is the one at which both sums agree for the intercept,
+    each number and each level of a text, so this checks a fit of any size without
+    another one. Rows without a score are left out. Terms are named feature, then level.
+    """
+    kinds = dict(df.dtypes)
+    used = df.filter(F.col(score).isNotNull())
+    weights = [(F.lit("(Intercept)"), F.lit(1.0))]
+    for feature in features:
+        text = kinds[feature] == "string"
+        weights.append((F.concat(F.lit(feature), F.col(feature)) if text else F.lit(feature), F.lit(1.0) if text else F.col(feature).cast("double")))
+    terms = F.array(*[F.struct(name.alias("term"), weight.alias("weight")) for name, weight in weights])
+    spread = used.select(F.col(outcome).cast("double").alias("_y"), F.col(score).alias("_p"), F.inline(terms))
+    return spread.groupBy("term").agg(F.sum(F.col("_y") * F.col("weight")).alias("observed"), F.sum(F.col("_p") * F.col("weight")).alias("fitted"))
+
+
 def min_group_size(df: DataFrame, key: str, n: int = 500) -> DataFrame:
     """Rows of the groups that have more than ``n`` rows.
 
@@ -79,12 +112,94 @@ def _term(name: str, features: Sequence[str]) -> str:
     return name if owner is None or name in features else owner + name[len(owner) + 1 :]
 
 
+def _names(designed: DataFrame, features: Sequence[str]) -> list[str]:
+    """Terms in the order of the coefficients, the intercept first."""
+    meta = designed.schema["_features"].metadata["ml_attr"]["attrs"]
+    attributes = sorted((a for kind in meta.values() for a in kind), key=lambda a: a["idx"])
+    return ["(Intercept)", *[_term(a["name"], features) for a in attributes]]
+
+
+def _likelihoods(designed: DataFrame, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood, gradient and second derivatives at several coefficient vectors, in one job."""
+    count, size = candidates.shape
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((count, 1 + size + size * size))
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), np.stack(batch["x"])])
+            y, w = batch["outcome"].to_numpy()[:, None], batch["_weight"].to_numpy()[:, None]
+            eta = x @ candidates.T
+            share = 0.5 * (1 + np.tanh(eta / 2))
+            total[:, 0] += (w * (y * eta - np.logaddexp(0, eta))).sum(axis=0)
+            total[:, 1 : size + 1] += (x.T @ (w * (y - share))).T
+            spread = w * share * (1 - share)
+            for k in range(count):
+                total[k, size + 1 :] -= (x.T @ (spread[:, k : k + 1] * x)).ravel()
+        yield pd.DataFrame({"place": np.arange(total.size), "value": total.ravel()})
+
+    sums = designed.mapInPandas(parts, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+    whole = np.zeros(count * (1 + size + size * size))
+    whole[sums["place"].to_numpy()] = sums["value"].to_numpy()
+    whole = whole.reshape(count, -1)
+    return whole[:, 0], whole[:, 1 : size + 1], whole[:, size + 1 :].reshape(count, size, size)
+
+
+def profile_bounds(df: DataFrame, label: str, features: Sequence[str], conf: float = 0.95) -> DataFrame:
+    """Profile-likelihood bounds: ``term, estimate, conf_low, conf_high``.
+
+    A bound of a coefficient is where the likelihood, all other coefficients fitted anew,
+    has fallen by half the chi-square quantile. Both bounds of all terms are sought at
+    once: each step is one job over the patterns that gives the derivatives at all
+    candidates, and each candidate moves to where the quadratic it sees there has the
+    wanted height with the other slopes zero. A bound that runs off or does not settle
+    is NULL.
+    """
+    patterns, formula, fitted = _fit(df, label, features)
+    transformed = formula.transform(patterns)
+    names = _names(transformed, features)
+    designed = cut_lineage(transformed.select(vector_to_array("_features").alias("x"), "outcome", "_weight"))
+    best = np.array([fitted.intercept, *fitted.coefficients.toArray()])
+    size = len(best)
+    z = NormalDist().inv_cdf(0.5 + conf / 2)
+    top, _, second = _likelihoods(designed, best[None])
+    goal = top[0] - z * z / 2
+    spread = -np.linalg.pinv(second[0])
+    term, side = np.repeat(np.arange(size), 2), np.tile([-1.0, 1.0], size)
+    now = best + side[:, None] * z * spread[term] / np.sqrt(np.maximum(spread[term, term], 1e-12))[:, None]
+    # a level without outcome has no finite estimate, yet one finite bound: start where there are slopes
+    endless = np.abs(best).max() > FAR
+    now = np.where(endless, np.clip(best, -FAR / 2, FAR / 2), now)
+    done = np.zeros(len(term), dtype=bool)
+    lost = ~np.isfinite(now).all(axis=1)
+    for _ in range(PROFILE_STEPS):
+        open_ = np.flatnonzero(~done & ~lost)
+        if not len(open_):
+            break
+        height, slope, second = _likelihoods(designed, now[open_])
+        for i, k in enumerate(open_):
+            inverse = np.linalg.pinv(second[i])
+            own = inverse[term[k], term[k]]
+            # without curvature the likelihood is flat: the coefficient has run off
+            if not own < 0 or second[i][term[k], term[k]] > -FLAT:
+                lost[k] = True
+                continue
+            fall = goal - height[i] + slope[i] @ inverse @ slope[i] / 2
+            push = -side[k] * np.sqrt(max(2 * fall / own, 0.0))
+            move = -inverse @ slope[i] + push * inverse[:, term[k]]
+            move *= min(1.0, MOST_MOVE / max(np.abs(move).max(), 1e-300))
+            now[k] += move
+            others = np.abs(np.delete(slope[i], term[k])).max(initial=0.0)
+            done[k] = np.abs(move).max() < 1e-9 and abs(height[i] - goal) < 1e-7 and others <= 1e-5 * abs(slope[i][term[k]])
+            lost[k] = abs(now[k, term[k]]) > INFINITE
+    found = [float(value) if good else None for value, good in zip(now[np.arange(len(term)), term], done, strict=True)]
+    rows = [(name, float(estimate), found[2 * i], found[2 * i + 1]) for i, (name, estimate) in enumerate(zip(names, best, strict=True))]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, conf_low double, conf_high double")
+
+
 def logistic_terms(df: DataFrame, label: str, features: Sequence[str], conf: float = 0.95) -> DataFrame:
     """One row per model term with estimate, error, z, p and Wald bounds."""
     patterns, formula, fitted = _fit(df, label, features)
-    meta = formula.transform(patterns).schema["_features"].metadata["ml_attr"]["attrs"]
-    attributes = sorted((a for kind in meta.values() for a in kind), key=lambda a: a["idx"])
-    names = ["(Intercept)", *[_term(a["name"], features) for a in attributes]]
+    names = _names(formula.transform(patterns), features)
     summary = fitted.summary
     errors = summary.coefficientStandardErrors
     p_values = summary.pValues

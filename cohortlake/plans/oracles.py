@@ -349,25 +349,83 @@ FACTOR_TERMS = """
           from cells_of x, (from cells_of where place = 1) r)"""
 
 # Turn by turn: the k-th exposed of each partner takes the nearest control left.
-TURNS = """
-        , queue as (
-          select person_id, data_partner_id, Age, row_number() over (
-            partition by data_partner_id order by Age desc, person_id) as turn
-          from covariates where has_lsd = 1),
-        pool as (select person_id, data_partner_id, Age from covariates where has_lsd = 0),
+def _turns(score: str) -> str:
+    return f"""
+        , scored as (select *, {score} as score from covariates),
+        queue as (
+          select person_id, data_partner_id, score, row_number() over (
+            partition by data_partner_id order by score desc, person_id) as turn
+          from scored where has_lsd = 1),
+        pool as (select person_id, data_partner_id, score from scored where has_lsd = 0),
         played(data_partner_id, turn, exposed, control, gone) as (
           select distinct data_partner_id, cast(0 as bigint), cast(null as varchar), cast(null as varchar),
             cast([] as varchar[]) from covariates
           union all
           select data_partner_id, turn, exposed, control, list_append(gone, control) from (
             select q.data_partner_id, q.turn, q.person_id as exposed, p.gone, (
-              select arg_min(c.person_id, row(abs(c.Age - q.Age), c.Age, c.person_id)) from pool c
+              select arg_min(c.person_id, row(abs(c.score - q.score), c.score, c.person_id)) from pool c
               where c.data_partner_id = q.data_partner_id and not list_contains(p.gone, c.person_id)) as control
             from played p join queue q on q.data_partner_id = p.data_partner_id and q.turn = p.turn + 1)
           where control is not null),
         pairs as (select exposed, control from played where exposed is not null)"""
 
 
+# A single factor's scores are the shares exposed of its levels.
+ONE_FACTOR = _turns("round(avg(has_lsd) over (partition by Race), 9)")
+MATCHED_FACTS = """
+        , matched_facts as (
+          select * from facts where person_id in (select exposed from pairs union select control from pairs))"""
+MATCHED_STEPS = ("deaths", "drug_window", "drug_survival", "drug_lives")
+
+
+def _on_matched(name: str) -> str:
+    """A step with the matched persons in the place of all."""
+    body = re.sub(r"\bfacts\b", "matched_facts", STEPS[name])
+    for step in MATCHED_STEPS:
+        body = re.sub(rf"(from|join) {step}\b", rf"\1 matched_{step}", body)
+    return f"matched_{name} as ({body.strip()})"
+
+
+# Where the likelihood ratio of one factor's terms reaches the quantile, by halving. Given a
+# level's coefficient, the intercept that fits best is the root of a quadratic.
+PROFILE = """
+        , cells_of as (
+          select Race, sum(has_lsd)::double as a, sum(1 - has_lsd)::double as b, row_number() over (order by Race) as place
+          from covariates group by Race),
+        terms as (
+          select if(x.place = 1, '(Intercept)', 'Race' || x.Race) as term, x.place = 1 as base, r.a as a0, r.a + r.b as n0,
+            x.a as a1, x.a + x.b as n1, ln(x.a / x.b) - if(x.place = 1, 0, ln(r.a / r.b)) as estimate
+          from cells_of x, (from cells_of where place = 1) r),
+        sides as (
+          select *, if(base, a0 * estimate - n0 * ln(1 + exp(estimate)),
+              a0 * ln(a0 / (n0 - a0)) - n0 * ln(n0 / (n0 - a0)) + a1 * ln(a1 / (n1 - a1)) - n1 * ln(n1 / (n1 - a1))) as top
+          from terms, (select unnest([-1, 1]) as side)),
+        halved(step, term, side, near, far) as (
+          select 0, term, side, estimate, estimate + 20 * side from sides
+          union all
+          select step + 1, term, side, if(inside, middle, near), if(inside, far, middle) from (
+            select *, 2 * (top - if(base, a0 * middle - n0 * ln(1 + exp(middle)),
+                (a0 + a1) * ln(x) + a1 * middle - n0 * ln(1 + x) - n1 * ln(1 + x * exp(middle)))) < 3.841458820694124 as inside
+            from (
+              select *, (-linear + sqrt(linear * linear + 4 * square * (a0 + a1))) / (2 * square) as x
+              from (
+                select h.*, s.base, s.a0, s.n0, s.a1, s.n1, s.top, (h.near + h.far) / 2 as middle,
+                  exp((h.near + h.far) / 2) * (s.n0 + s.n1 - s.a0 - s.a1) as square,
+                  s.n0 + s.n1 * exp((h.near + h.far) / 2) - (s.a0 + s.a1) * (1 + exp((h.near + h.far) / 2)) as linear
+                from halved h join sides s on s.term = h.term and s.side = h.side where h.step < 60))))
+        select term, round(any_value(estimate), 5) as estimate, round(max(near) filter (where side = -1), 5) as conf_low,
+          round(max(near) filter (where side = 1), 5) as conf_high
+        from halved join terms using (term) where step = 60 group by term"""
+
+
+def _equations(rows: str, outcome: str, number: str, texts: tuple[str, ...]) -> str:
+    """Sums of the outcome by term; at the fit those of the probabilities are the same."""
+    sums = [f"select '(Intercept)' as term, sum({outcome}) as s from {rows}", f"select '{number}', sum({outcome} * {number}) from {rows}"]
+    sums += [f"select '{text}' || {text}, sum({outcome}) from {rows} group by {text}" for text in texts]
+    both = ", ".join(f"round(s::double, 3) as {name}" for name in ("observed", "fitted"))
+    return f"select term, {both} from ({' union all '.join(sums)})"
+
+
 def oracle_texts() -> dict[str, str]:
     rounded_cells = ", ".join(f"round(ifnull({c}, median({c}) over ()), 6) as {c}" for c in LAB_COLUMNS)
     missing = " union all ".join(
@@ -415,9 +473,21 @@ def oracle_texts() -> dict[str, str]:
         "impute_covariates": "select * from covariates",
         "propensity_score_one_factor": """
             select person_id, has_lsd, Race, round(avg(has_lsd) over (partition by Race), 6) as score from covariates""",
-        "match_nearest": TURNS + """
-            select c.person_id, c.data_partner_id, c.has_lsd, c.Age as score, p.exposed as subclass
-            from pairs p join covariates c on c.person_id in (p.exposed, p.control)""",
+        "match_nearest": _turns("Age") + """
+            select c.person_id, c.data_partner_id, c.has_lsd, c.score, p.exposed as subclass
+            from pairs p join scored c on c.person_id in (p.exposed, p.control)""",
+        "matched_persons_one_factor": ONE_FACTOR + """
+            select c.person_id, c.data_partner_id, c.has_lsd, round(c.score, 6) as score, p.exposed as subclass
+            from pairs p join scored c on c.person_id in (p.exposed, p.control)""",
+        "matched_cohort_one_factor": ONE_FACTOR + MATCHED_FACTS + " select * from matched_facts",
+        "matched_drug_survival_one_factor": ONE_FACTOR + MATCHED_FACTS + "".join(
+            f", {_on_matched(name)}" for name in MATCHED_STEPS) + _life_table("matched_drug_lives") + LIFE_VALUES,
+        "profile_bounds": PROFILE,
+        "propensity_score_equations": _equations("covariates", "has_lsd", "Age", ("Race", "Sex")),
+        "severity_model_equations": """
+            , large as (select * from outcomes where age_at_covid is not null
+              qualify count(*) over (partition by drug_concept_name) > 10)
+            """ + _equations("large", "Binary_Severity", "age_at_covid", ("drug_concept_name", "race", "sex")),
         "restrict_to": "select * from patient_facts where person_id in (select person_id from specific)",
         "index_window_join": "select * from drug_window",
         "index_window_join_procedures": "select * from procedure_window",
@@ -505,5 +575,5 @@ def oracle_texts() -> dict[str, str]:
             select l.person_id, p.* from exposed_latest l join phecode_map p on p.code = l.combined_concept_code""",
     }
     return {
-        name: check(body, "with recursive" if name == "match_nearest" else "with") for name, body in bodies.items()
+        name: check(body, "with recursive" if "played(" in body or "halved(" in body else "with") for name, body in bodies.items()
     }

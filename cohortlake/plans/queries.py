@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,19 +39,17 @@ TEST_PARAMETERS = StudyParameters(
     lab_name="concept_code",
     group_floor=10,
     matched=False,
+    kept=False,
 )
 INDEX_DATE = TEST_PARAMETERS.index_date
 RISK_TIMES = (0, 500, 1000, 2000)
 
 
-def study(spark: SparkSession, folder: str, matched: bool = False) -> Study:
+def study(spark: SparkSession, folder: str, matched: bool = False, **changed: object) -> Study:
     """The study on the test tables; unmatched, all persons with facts are the cohort."""
     tune(spark)
     tables = StudyTables(spark, folder)
-    params = TEST_PARAMETERS
-    if matched:
-        params = StudyParameters(**{**params.__dict__, "matched": True})
-    return Study(tables, params)
+    return Study(tables, replace(TEST_PARAMETERS, matched=matched, kept=matched, **changed))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -173,6 +172,20 @@ def _propensity_score(s: Study) -> DataFrame:
     return rounded(scored.select("person_id", "has_lsd", "Age", "Race", "Sex", "score"), "score")
 
 
+def _propensity_equations(s: Study) -> DataFrame:
+    """Sums over the scores of the full fit, which must be those over the exposure."""
+    covariates = s.params.score_covariates
+    scored = regression.propensity_score(s.covariates, covariates=covariates)
+    return rounded(regression.score_equations(scored, "has_lsd", "score", covariates), "observed", "fitted", digits=3)
+
+
+def _severity_equations(s: Study) -> DataFrame:
+    """The same for the severity model with all its terms."""
+    terms = s.params.severity_terms
+    scored = regression.propensity_score(s.severity_rows, "Binary_Severity", terms)
+    return rounded(regression.score_equations(scored, "Binary_Severity", "score", terms), "observed", "fitted", digits=3)
+
+
 def _propensity_one_factor(s: Study) -> DataFrame:
     scored = regression.propensity_score(s.covariates, covariates=("Race",))
     return rounded(scored.select("person_id", "has_lsd", "Race", "score"), "score")
@@ -194,6 +207,10 @@ def _odds_ratios(s: Study) -> DataFrame:
     return rounded(odds.select("term", "odds_ratio", "top_ci", "bottom_ci"), "odds_ratio", "top_ci", "bottom_ci", digits=5)
 
 
+def _profile_bounds(s: Study) -> DataFrame:
+    return rounded(regression.profile_bounds(s.covariates, "has_lsd", ("Race",)), "estimate", "conf_low", "conf_high", digits=5)
+
+
 def _min_group_size(s: Study) -> DataFrame:
     return regression.min_group_size(s.outcome_drugs, "drug_concept_name", s.params.group_floor)
 
@@ -254,6 +271,7 @@ STUDY_QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "demographics": _demographics,
     "impute_covariates": lambda s: s.covariates,
     "propensity_score": _propensity_score,
+    "propensity_score_equations": _propensity_equations,
     "propensity_score_one_factor": _propensity_one_factor,
     "match_nearest": _match_nearest,
     "restrict_to": _restrict_to,
@@ -283,6 +301,8 @@ STUDY_QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "min_group_size": _min_group_size,
     "logistic_terms": _logistic_terms,
     "odds_ratios": _odds_ratios,
+    "severity_model_equations": _severity_equations,
+    "profile_bounds": _profile_bounds,
     "comorbidity_flags": _comorbidity_flags,
     "comorbidity_score": _comorbidity_score,
     "score_by_exposure": lambda s: s.cohort_comorbidity,
@@ -302,13 +322,22 @@ MATCHED_QUERIES: dict[str, Callable[[Study], DataFrame]] = {
 }
 
 
-def _bind(plan: Callable[[Study], DataFrame], matched: bool) -> Query:
-    return lambda spark, folder: plan(study(spark, folder, matched))
+# On a score with a closed form SQL can state the whole way from facts to curve.
+ONE_FACTOR_QUERIES: dict[str, Callable[[Study], DataFrame]] = {
+    "matched_persons_one_factor": lambda s: rounded(s.matched_persons, "score"),
+    "matched_cohort_one_factor": lambda s: s.cohort,
+    "matched_drug_survival_one_factor": _kaplan_meier,
+}
+
+
+def _bind(plan: Callable[[Study], DataFrame], matched: bool, **changed: object) -> Query:
+    return lambda spark, folder: plan(study(spark, folder, matched, **changed))
 
 
 def all_queries() -> dict[str, Query]:
     plain = {name: _bind(plan, False) for name, plan in STUDY_QUERIES.items()}
-    return plain | {name: _bind(plan, True) for name, plan in MATCHED_QUERIES.items()}
+    one_factor = {name: _bind(plan, True, score_covariates=("Race",), score_digits=9) for name, plan in ONE_FACTOR_QUERIES.items()}
+    return plain | one_factor | {name: _bind(plan, True) for name, plan in MATCHED_QUERIES.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -49,7 +49,13 @@ class StudyParameters:
     )
     group_floor: int = 500
     severity_terms: Sequence[str] = ("drug_concept_name", "age_at_covid", "race", "sex")
+    score_covariates: Sequence[str] = ("Age", "Race", "Sex")
+    # digits that scores are matched on; scores that only the fit's own error tells apart are then equal
+    score_digits: int | None = None
+    # whether the matched persons or all persons with facts are the cohort
     matched: bool = True
+    # whether results that many others read are stored; without it each query is one plan
+    kept: bool = True
 
 
 @dataclass
@@ -58,8 +64,8 @@ class Study:
     params: StudyParameters = field(default_factory=StudyParameters)
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        """Store a result that many others read; without matching each query stays one plan."""
-        return cut_lineage(df) if self.params.matched else df
+        """Store a result that many others read."""
+        return cut_lineage(df) if self.params.kept else df
 
     # concept sets and code maps
 
@@ -106,7 +112,10 @@ class Study:
 
     @cached_property
     def matched_persons(self) -> DataFrame:
-        return matching.match_nearest(regression.propensity_score(self.covariates))
+        scored = regression.propensity_score(self.covariates, covariates=self.params.score_covariates)
+        if self.params.score_digits is not None:
+            scored = scored.withColumn("score", F.round("score", self.params.score_digits))
+        return matching.match_nearest(scored)
 
     @cached_property
     def cohort(self) -> DataFrame:
@@ -247,15 +256,24 @@ class Study:
             self.tables["drug_exposure"], self.tables["patient_facts"], members, self.params.index_date
         )
 
+    @cached_property
+    def severity_rows(self) -> DataFrame:
+        return regression.min_group_size(self.outcome_drugs, "drug_concept_name", self.params.group_floor)
+
     @cached_property
     def severity_model(self) -> DataFrame:
-        large = regression.min_group_size(self.outcome_drugs, "drug_concept_name", self.params.group_floor)
-        return regression.logistic_terms(large, "Binary_Severity", self.params.severity_terms)
+        return regression.logistic_terms(self.severity_rows, "Binary_Severity", self.params.severity_terms)
 
     @cached_property
     def drug_odds(self) -> DataFrame:
         return regression.odds_ratios(self.severity_model)
 
+    @cached_property
+    def drug_odds_profile(self) -> DataFrame:
+        """Odds ratios with profile-likelihood bounds."""
+        bounds = regression.profile_bounds(self.severity_rows, "Binary_Severity", self.params.severity_terms)
+        return regression.odds_ratios(bounds)
+
     # labs
 
     @cached_property

@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.operators.regression import logistic_terms, min_group_size, odds_ratios, propensity_score
+from cohortlake.operators.regression import logistic_terms, min_group_size, odds_ratios, profile_bounds, propensity_score, score_equations
 
 # (outcome, drug, persons)
 CELLS = [(1, "a", 30), (0, "a", 70), (1, "b", 45), (0, "b", 55)]
@@ -65,3 +66,60 @@ def test_gap_gets_no_score(spark, two_by_two):
 def test_group_floor(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2 + [(None,)] * 3, "k string")
     assert sorted(r.k or "-" for r in min_group_size(df, "k", 2).collect()) == ["-"] * 3 + ["a"] * 3
+
+
+def test_score_equations_hold_at_the_fit_only(spark):
+    rnd = random.Random(5)
+    rows = [(i, int(rnd.random() < 0.2 + 0.1 * (i % 3)), float(i % 7), "abc"[i % 3]) for i in range(600)]
+    rows += [(600, 1, None, "a"), (601, 0, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, y int, x double, level string")
+    scored = propensity_score(df, "y", ("x", "level"))
+    sums = score_equations(scored, "y", "score", ("x", "level")).collect()
+    assert {r.term for r in sums} == {"(Intercept)", "x", "levela", "levelb", "levelc"}
+    assert all(abs(r.observed - r.fitted) < 1e-6 for r in sums)
+    off = scored.withColumn("score", F.col("score") * 0.99)
+    assert all(abs(r.observed - r.fitted) > 1e-3 for r in score_equations(off, "y", "score", ("x", "level")).collect())
+
+
+def test_profile_bounds_cut_the_likelihood(spark):
+    """At a bound, the best fit of the other terms has lost half the quantile."""
+    rnd = random.Random(2)
+    rows = [(int(rnd.random() < 0.3 + 0.05 * (i % 5)), float(i % 5), "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "y int, x double, level string")
+    bounds = {r.term: r for r in profile_bounds(df, "y", ("x", "level")).collect()}
+    wald = {r.term: r for r in logistic_terms(df, "y", ("x", "level")).collect()}
+
+    def best(fixed):
+        """Largest likelihood with the slope of x held, by Newton steps on the other two."""
+        a = b = 0.0
+        for _ in range(60):
+            g = [0.0, 0.0]
+            h = [[1e-12, 0.0], [0.0, 1e-12]]
+            total = 0.0
+            for y, x, level in rows:
+                one = 1.0 if level == "b" else 0.0
+                eta = a + b * one + fixed * x
+                p = 1 / (1 + math.exp(-eta))
+                total += y * eta - math.log1p(math.exp(eta))
+                for i, u in enumerate((1.0, one)):
+                    g[i] += u * (y - p)
+                    for j, v in enumerate((1.0, one)):
+                        h[i][j] += u * v * p * (1 - p)
+            det = h[0][0] * h[1][1] - h[0][1] * h[1][0]
+            a += (h[1][1] * g[0] - h[0][1] * g[1]) / det
+            b += (h[0][0] * g[1] - h[1][0] * g[0]) / det
+        return total
+
+    top = best(bounds["x"].estimate)
+    for bound in (bounds["x"].conf_low, bounds["x"].conf_high):
+        assert 2 * (top - best(bound)) == pytest.approx(3.841458820694124, abs=1e-5)
+    for term, row in bounds.items():
+        assert row.conf_low < row.estimate < row.conf_high
+        assert row.conf_low == pytest.approx(wald[term].conf_low, abs=0.1)
+
+
+def test_profile_of_a_level_without_outcome(spark):
+    rows = [(1, "a")] * 20 + [(0, "a")] * 30 + [(0, "b")] * 25
+    found = {r.term: r for r in profile_bounds(spark.createDataFrame(rows, "y int, level string"), "y", ("level",)).collect()}
+    assert found["levelb"].conf_low is None and found["levelb"].conf_high is not None and found["levelb"].conf_high < 0
+    assert found["(Intercept)"].conf_low < found["(Intercept)"].estimate < found["(Intercept)"].conf_high
