@@ -81,3 +81,26 @@ def exact_medians(long: DataFrame, name: str, value: str, group_limit: int = GRO
             ).alias("median")
         )
     )
+
+
+def quantiles(
+    counts: DataFrame, group: str, value: str, weight: str, shares: Sequence[float], group_limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """Exact quantiles of counted values per group: ``group, q``, an array in the order of ``shares``.
+
+    Between two ranks the quantile lies on the line between their values. The ranks are
+    found on running counts; a missing group name is a group.
+    """
+    ranked = running_total(counts, [group], [value], F.col(weight), "_upto", group_limit)
+    totals = ranked.groupBy(F.col(group).alias("_of")).agg(F.max("_upto").alias("_all"))
+    joined = ranked.join(totals, F.col(group).eqNullSafe(F.col("_of")))
+    found = []
+    for share in shares:
+        place = F.lit(share) * (F.col("_all") - 1)
+        low, high = F.floor(place) + 1, F.ceil(place) + 1
+        first = F.col("_upto") - F.col(weight) + 1
+        at_low = F.max(F.when((first <= low) & (low <= F.col("_upto")), F.col(value)))
+        at_high = F.max(F.when((first <= high) & (high <= F.col("_upto")), F.col(value)))
+        rest = F.max(place - F.floor(place))
+        found.append(at_low + (at_high - at_low) * rest)
+    return joined.groupBy(group).agg(F.array(*found).alias("q"))

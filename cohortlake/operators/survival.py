@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.operators.ranks import quantiles
 from cohortlake.session import cut_lineage
 
 Z95 = 1.959963984540054
@@ -87,47 +88,50 @@ def density_by_group(
 ) -> DataFrame:
     """Gaussian kernel density per group on an even grid over all values.
 
-    Equal values are counted first, so each group is a list of distinct values and
-    weights; ``resolution`` rounds values that are not whole days to keep it short.
+    Equal values are counted first; ``resolution`` rounds values before. The counted
+    values stay rows: each adds its part to the grid points of its group, the parts are
+    summed up on the map side, and quartiles come from running counts, so that no group
+    has to fit one row or task.
     The default bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5), with the standard deviation
     where the other is 0, and the absolute value, or 1, where all values are equal.
     """
     at = F.col(value).cast("double")
-    binned = (
+    spark = df.sparkSession
+    # the number keeps the rows spread: each is unfolded along the grid further down
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    binned = cut_lineage(
         df.filter(F.col(value).isNotNull())
         .groupBy(F.col(group).alias("group"), (at if resolution is None else F.round(at / resolution) * resolution).alias("x"))
         .agg(F.count(F.lit(1)).alias("w"))
+        .repartition(tasks, "group", "x")
     )
-    # a short list by now; read twice, for the groups and for the ends of the grid
-    binned = cut_lineage(binned)
-    w, x = F.col("w"), F.col("x")
-    groups = binned.groupBy("group").agg(
-        F.sum(w).alias("n"),
-        F.sum(w * x).alias("sx"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("w")).alias("q"),
-        F.collect_list(F.struct("x", "w")).alias("values"),
-    )
+    w, x, n = F.col("w"), F.col("x"), F.col("n")
     ends = binned.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    n = F.col("n")
-    mean = F.col("sx") / n
-    squares = F.aggregate("values", F.lit(0.0), lambda total, v: total + v["w"] * F.pow(v["x"] - mean, 2.0))
-    sd = F.sqrt(squares / (n - 1))
-    same = F.abs(F.col("values")[0]["x"])
-    iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
-    spread = F.when((iqr > 0) & (iqr < F.col("sd")), iqr).when(F.col("sd") > 0, F.col("sd")).when(same > 0, same).otherwise(1.0)
-    width = F.lit(float(bw)) if bw is not None else 0.9 * spread * F.pow(n, F.lit(-0.2))
-    sized = (
-        groups.filter(n > 1)
-        .withColumn("sd", sd)
-        .withColumn("h", width)
-        .withColumns({"lo": ends["lo"], "hi": ends["hi"]})
-        .select("group", "n", "h", "lo", "hi", "values", F.explode(F.sequence(F.lit(0), F.lit(grid_n - 1))).alias("i"))
-        .withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / max(grid_n - 1, 1))
+    groups = binned.groupBy("group").agg(
+        F.sum(w).alias("n"), (F.sum(w * x) / F.sum(w)).alias("mean"), F.max(F.abs(x)).alias("same")
     )
-    kernel = F.aggregate(
-        "values",
-        F.lit(0.0),
-        lambda total, v: total + v["w"] * F.exp(-0.5 * F.pow((F.col("at") - v["x"]) / F.col("h"), 2.0)),
+    groups = groups.filter(n > 1).withColumnRenamed("group", "of")
+
+    def with_groups(found: DataFrame) -> DataFrame:
+        """The counted values with what is known of their group; a missing name is a group too."""
+        return binned.join(found, F.col("group").eqNullSafe(F.col("of")))
+
+    if bw is not None:
+        sized = groups.withColumn("h", F.lit(float(bw)))
+    else:
+        squares = with_groups(groups).groupBy("of").agg(F.sum(w * F.pow(x - F.col("mean"), 2.0)).alias("squares"))
+        quarters = quantiles(binned, "group", "x", "w", (0.25, 0.75))
+        spreads = squares.join(quarters, F.col("of").eqNullSafe(F.col("group"))).select(
+            F.col("of").alias("owner"), "squares", ((F.col("q")[1] - F.col("q")[0]) / 1.34).alias("iqr")
+        )
+        known = groups.join(spreads, F.col("of").eqNullSafe(F.col("owner"))).withColumn("sd", F.sqrt(F.col("squares") / (n - 1)))
+        iqr, sd, same = F.col("iqr"), F.col("sd"), F.col("same")
+        spread = F.when((iqr > 0) & (iqr < sd), iqr).when(sd > 0, sd).when(same > 0, same).otherwise(1.0)
+        sized = known.select("of", "n", (0.9 * spread * F.pow(n, F.lit(-0.2))).alias("h"))
+    place = ends["lo"] + (ends["hi"] - ends["lo"]) * F.col("i") / max(grid_n - 1, 1)
+    parts = with_groups(sized.select("of", "n", "h")).select(
+        "group", "x", "w", "n", "h", F.explode(F.sequence(F.lit(0), F.lit(grid_n - 1))).alias("i")
     )
-    scale = n * F.col("h") * math.sqrt(2 * math.pi)
-    return sized.select("group", F.col("at").alias("x"), (kernel / scale).alias("density"))
+    kernel = w * F.exp(-0.5 * F.pow((place - x) / F.col("h"), 2.0)) / (n * F.col("h") * math.sqrt(2 * math.pi))
+    summed = parts.groupBy("group", "i").agg(F.sum(kernel).alias("density"))
+    return summed.select("group", place.alias("x"), "density")

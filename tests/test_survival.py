@@ -114,3 +114,19 @@ def test_survival_rows(spark):
     )
     rows = survival_table(exposures, deaths, ("drug",), "ended", "2020-12-31").collect()
     assert {(r.person_id, r.days, r.status) for r in rows} == {("a", 6, 1), ("b", 365, 0)}
+
+
+def test_density_of_many_distinct_values(spark):
+    """One group of 200,000 distinct values, read as rows in many tasks, and a group without a name."""
+    df = spark.range(200_000).select((F.col("id") / 1000).alias("days_diff"), F.lit("a").alias("Binary_Severity"))
+    few = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None)], "days_diff double, Binary_Severity string")
+    rows = density_by_group(df.unionByName(few), grid_n=40).collect()
+    a = sorted((r.x, r.density) for r in rows if r.group == "a")
+    assert len(a) == 40 and a[20][1] == pytest.approx(1 / 200, rel=1e-3)
+    n, values = 3, [1.0, 2.0, 4.0]
+    mean = sum(values) / n
+    sd = math.sqrt(sum((v - mean) ** 2 for v in values) / (n - 1))
+    h = 0.9 * min(sd, 1.5 / 1.34) * n**-0.2
+    for x, density in sorted((r.x, r.density) for r in rows if r.group is None):
+        want = sum(math.exp(-0.5 * ((x - v) / h) ** 2) for v in values) / (n * h * math.sqrt(2 * math.pi))
+        assert density == pytest.approx(want, abs=1e-12)
