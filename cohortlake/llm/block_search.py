@@ -9,11 +9,14 @@ least ones for its negative components, sum up to a bound of all scores in the b
 
 A query takes the blocks in the order of their bounds and scores them through the
 forward index until the next bound is below its k-th score. It does so in its own
-segment first. The k-th score found there is carried along: only segments whose own
-bound reaches it are visited later, each by the queries that may find something.
-
-The queries are a stated set against all rows. They meet the segments in cells, a part
-of the queries and a segment each, of bounded size; nothing is broadcast.
+segment first. The k-th score found there is carried along: only groups with a
+segment whose own bound reaches it are visited later, by the queries that may find
+something there.
+
+The queries are a stated set against all rows. They meet the segments in cells of
+bounded size, a part of the queries and a group of segments each; a query goes through
+all blocks of a group in one order and leaves it with no more than k rows. Nothing is
+broadcast.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ SEGMENT = 32_768
 # Vectors of a segment that share a row of the stored index.
 ROW = 1_024
 # Queries of a cell, and segments whose bounds are looked at together.
-QUERIES = 32_768
+QUERIES = 8_192
 BOUNDS = 1_024
 # Blocks scored in the first step; each further step takes twice as many.
 FIRST_BLOCKS = 4
@@ -112,15 +115,24 @@ def halved(codes: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 
 class Segment:
-    """Forward index of a segment with the term maxima of its blocks."""
+    """Forward index of one segment, or of several in a row, with the term maxima of its blocks.
+
+    ``names`` and ``sizes`` tell the segments and their rows; no block spans two of them.
+    """
 
-    def __init__(self, ids: np.ndarray, codes: np.ndarray, block: int = BLOCK) -> None:
-        self.ids, self.width, self.block = ids, codes.shape[1], block
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, block: int = BLOCK, names: np.ndarray | None = None, sizes: np.ndarray | None = None) -> None:
+        self.ids, self.width = ids, codes.shape[1]
         self.most = int(np.abs(codes).max(initial=0))
-        starts = np.arange(0, len(ids), block)
-        self.high = np.maximum.reduceat(codes, starts, axis=0)
-        self.low = np.minimum.reduceat(codes, starts, axis=0)
-        self.least = np.minimum.reduceat(ids, starts)
+        names = np.zeros(1, dtype=np.int64) if names is None else names
+        sizes = np.array([len(ids)]) if sizes is None else sizes
+        begins = np.cumsum(sizes) - sizes
+        self.starts = np.concatenate([np.arange(b, b + n, block) for b, n in zip(begins, sizes, strict=True)])
+        self.ends = np.append(self.starts[1:], len(ids))
+        self.names = np.repeat(names, -(-sizes // block))
+        self.steps = np.arange(block)
+        self.high = np.maximum.reduceat(codes, self.starts, axis=0)
+        self.low = np.minimum.reduceat(codes, self.starts, axis=0)
+        self.least = np.minimum.reduceat(ids, self.starts)
         self.codes = codes
         self.scored = 0
         self._double: tuple | None = None
@@ -133,15 +145,20 @@ class Segment:
             self._double = tuple(a.astype(np.float64) for a in (self.codes, self.high, self.low))
         return queries.astype(np.float64), *self._double
 
-    def search(self, own: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(
+        self, own: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int, done: np.ndarray | None = None
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per query the ids and scores of at most ``k`` best rows that reach its floor.
 
-        Equal scores go to the smaller id. A row of the query's own id does not count.
+        Equal scores go to the smaller id. A row of the query's own id does not count,
+        nor do those of the segment it is ``done`` with.
         """
         q, codes, high, low = self._arrays(_widened(queries, self.width))
         bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
         for i in range(len(q)):
             order = np.lexsort((self.least, -bounds[i]))
+            if done is not None:
+                order = order[self.names[order] != done[i]]
             bound, least = bounds[i][order], self.least[order]
             ids, scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
             at, step = 0, FIRST_BLOCKS
@@ -153,8 +170,8 @@ class Segment:
                 elif bound[at] < floors[i]:
                     break
                 some = order[at : at + step]
-                rows = (some[:, None] * self.block + np.arange(self.block)).ravel()
-                rows = rows[rows < len(self.ids)]
+                rows = self.starts[some][:, None] + self.steps
+                rows = rows[rows < self.ends[some][:, None]]
                 found = (codes[rows] @ q[i]).astype(np.int64)
                 self.scored += len(some)
                 good = (self.ids[rows] != own[i]) & (found >= floors[i])
@@ -188,8 +205,9 @@ def _index(asked: Callable[[np.ndarray], np.ndarray], k: int, size: int, block:
             out = []
             for at in range(0, len(ids), ROW):
                 some = slice(at, at + ROW)
-                out.append(("rows", name, ids[some].astype("<i8").tobytes(), codes[some].astype("<i4").tobytes(), at, None, None, None))
-            out.append(("bounds", name, segment.low.min(axis=0).astype("<i4").tobytes(), segment.high.max(axis=0).astype("<i4").tobytes(), None, None, None, None))
+                out.append(("index", name, ids[some].astype("<i8").tobytes(), codes[some].astype("<i4").tobytes(), at, None, None, None))
+            low, high = segment.low.min(axis=0).astype("<i4"), segment.high.max(axis=0).astype("<i4")
+            out.append(("bounds", name, low.tobytes(), high.tobytes(), len(ids), None, None, None))
             yield pd.DataFrame(out, columns=columns, dtype=object)
             mine = np.flatnonzero(asked(ids))
             for at in range(0, len(mine), ROW):
@@ -248,41 +266,55 @@ def _by_cell(cell: list[str], build: Callable, answer: Callable):
 
 
 def _load_bounds(rows: pd.DataFrame) -> tuple:
-    return rows["segment"].to_numpy(), _matrix(rows["ids"].tolist()), _matrix(rows["codes"].tolist())
+    rows = rows.sort_values("group", kind="stable")
+    return rows["group"].to_numpy(), rows["segment"].to_numpy(), _matrix(rows["ids"].tolist()), _matrix(rows["codes"].tolist())
 
 
 def _visits(ready: tuple, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Segments, other than its own, whose bound reaches a query's floor."""
-    segments, low, high = ready
+    """Groups with a segment, other than the query's own, whose bound reaches its floor."""
+    groups, segments, low, high = ready
     width = max(low.shape[1], high.shape[1])
     low, high = _widened(low, width), _widened(high, width)
+    starts = np.flatnonzero(np.diff(groups, prepend=-1))
     floors = queries["floor"].fillna(NO_SCORE).astype("int64").to_numpy()
     for at in range(0, len(queries), ROW):
         some = queries.iloc[at : at + ROW]
         q = _matrix(some["codes"].tolist(), width)
         bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-        which, where = np.nonzero((bounds >= floors[at : at + ROW, None]) & (segments != some["segment"].to_numpy()[:, None]))
-        out = some.iloc[which][["kind", "id", "codes", "floor", "queries"]].reset_index(drop=True)
-        out.insert(1, "segment", segments[where])
-        yield out
+        reached = (bounds >= floors[at : at + ROW, None]) & (segments != some["segment"].to_numpy()[:, None])
+        which, where = np.nonzero(np.logical_or.reduceat(reached, starts, axis=1))
+        out = some.iloc[which][["kind", "segment", "id", "codes", "floor", "queries"]].reset_index(drop=True)
+        yield out.assign(group=groups[starts][where])
 
 
-def _load_segment(block: int):
+def _load_segments(block: int):
     def load(rows: pd.DataFrame) -> Segment:
-        rows = rows.sort_values("id")
-        ids, codes = (np.frombuffer(b"".join(rows[c]), dtype=kind) for c, kind in (("ids", "<i8"), ("codes", "<i4")))
-        return Segment(ids, codes.reshape(len(ids), len(codes) // len(ids)).astype(np.int64), block)
+        rows = rows.sort_values(["segment", "id"])
+        ids = np.frombuffer(b"".join(rows["ids"]), dtype="<i8")
+        sizes = rows["ids"].str.len().groupby(rows["segment"]).sum() // 8
+        return Segment(ids, _spread_rows(rows), block, sizes.index.to_numpy(), sizes.to_numpy())
 
     return load
 
 
+def _spread_rows(rows: pd.DataFrame) -> np.ndarray:
+    """Codes of all rows of the index, as wide as the widest."""
+    parts = []
+    for ids, codes in zip(rows["ids"], rows["codes"], strict=True):
+        count = len(ids) // 8
+        parts.append(np.frombuffer(codes, dtype="<i4").reshape(count, len(codes) // 4 // count).astype(np.int64))
+    width = max(part.shape[1] for part in parts)
+    return np.concatenate([_widened(part, width) for part in parts])
+
+
 def _found(k: int):
-    def answer(segment: Segment, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def answer(index: Segment, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for at in range(0, len(queries), ROW):
             some = queries.iloc[at : at + ROW]
             own, floors = some["id"].to_numpy(dtype="int64"), some["floor"].fillna(NO_SCORE).astype("int64").to_numpy()
             query, ids, scores = [], [], []
-            for one, (found, score) in zip(own, segment.search(own, _matrix(some["codes"].tolist()), floors, k), strict=True):
+            searched = index.search(own, _matrix(some["codes"].tolist()), floors, k, some["segment"].to_numpy())
+            for one, (found, score) in zip(own, searched, strict=True):
                 query.append(np.full(len(found), one))
                 ids.append(found)
                 scores.append(score)
@@ -314,30 +346,34 @@ def top_k(
     index = stored(laid.mapInPandas(_index(asked, k, segment_rows, block_rows), INDEX), "index")
 
     queries = index.filter("kind = 'query'")
-    bounds = index.filter("kind = 'bounds'").select("kind", "segment", "ids", "codes")
-    size = index.groupBy("kind").count().filter("kind in ('query', 'bounds')")
-    counts = dict(size.collect())
-    parts = max(1, math.ceil(counts.get("query", 0) / query_rows))
-    groups = max(1, math.ceil(counts.get("bounds", 0) / BOUNDS))
+    bounds = index.filter("kind = 'bounds'").select("kind", "segment", "ids", "codes", "id")
+    asked_rows, segments, all_rows = index.agg(
+        F.count_if(F.col("kind") == "query"), F.count_if(F.col("kind") == "bounds"), F.sum(F.when(F.col("kind") == "bounds", F.col("id")))
+    ).first()
+    parts = max(1, math.ceil(asked_rows / query_rows))
+    groups = max(1, math.ceil((all_rows or 0) / segment_rows))
+    chunks = max(1, math.ceil(segments / BOUNDS))
 
     def spread(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    asking = queries.select("kind", "segment", "id", "codes", "floor", part.alias("queries"), spread(groups).alias("bounds"))
-    facing = bounds.withColumn("bounds", F.pmod(F.xxhash64("segment"), F.lit(groups)).cast("int")).withColumn("queries", spread(parts))
+    group = F.pmod(F.xxhash64("segment"), F.lit(groups)).cast("int")
+    asking = queries.select("kind", "segment", "id", "codes", "floor", part.alias("queries"), spread(chunks).alias("bounds"))
+    facing = bounds.withColumn("group", group).withColumn("bounds", F.col("group") % chunks).withColumn("queries", spread(parts))
     met = facing.unionByName(asking, allowMissingColumns=True).repartition("bounds", "queries").sortWithinPartitions("bounds", "queries", "kind")
     visits = stored(
         met.mapInPandas(
-            _by_cell(["bounds", "queries"], _load_bounds, _visits), "kind string, segment long, id long, codes binary, floor long, queries int"
+            _by_cell(["bounds", "queries"], _load_bounds, _visits),
+            "kind string, segment long, id long, codes binary, floor long, queries int, group int",
         ),
         "visits",
     )
-    cells = visits.select("segment", "queries").distinct()
-    searched = index.filter("kind = 'rows'").select(F.lit("index").alias("kind"), "segment", "ids", "codes", "id").join(cells, "segment")
-    both = searched.unionByName(visits, allowMissingColumns=True).repartition("segment", "queries")
-    both = both.sortWithinPartitions("segment", "queries", "kind")
-    others = both.mapInPandas(_by_cell(["segment", "queries"], _load_segment(block_rows), _found(k)), "query_id long, vec_id long, score long")
+    cells = visits.select("group", "queries").distinct()
+    searched = index.filter("kind = 'index'").select("kind", "segment", "ids", "codes", "id", group.alias("group")).join(cells, "group")
+    both = searched.unionByName(visits, allowMissingColumns=True).repartition("group", "queries")
+    both = both.sortWithinPartitions("group", "queries", "kind")
+    others = both.mapInPandas(_by_cell(["group", "queries"], _load_segments(block_rows), _found(k)), "query_id long, vec_id long, score long")
     own = queries.select(F.col("id").alias("query_id"), F.inline(F.arrays_zip(F.col("found").alias("vec_id"), F.col("scores").alias("score"))))
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (
