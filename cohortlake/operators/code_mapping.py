@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions.codes import ICD9_RULES, ICD10_RULES, extract_code
-from cohortlake.operators.joins import left_lookup
+from cohortlake.operators.joins import frequent_keys, left_lookup, lookup_of_values
 
 
 CONDITION_COLUMNS = (
@@ -74,8 +75,42 @@ def code_if_known(df: DataFrame, text: str, codes: DataFrame, out: str, spread_b
     return left_lookup(df.withColumn("_text", F.col(text)), known, "_text", spread_by).drop("_text")
 
 
-def _parsed_codes(df: DataFrame, code_map: DataFrame, icd10: Sequence[str], icd9: Sequence[str]) -> DataFrame:
-    """Add both parsed code columns from the source text; one lookup serves both."""
+@dataclass(frozen=True)
+class SourceCodes:
+    """What is known of each distinct pair of source id and source text.
+
+    ``pairs`` has one row for a pair, or more where the map has several rows for its
+    id; ``hot`` are the frequent pairs of the rows it was built from.
+    """
+
+    pairs: DataFrame
+    hot: Mapping[int, int]
+
+
+# Source id and text decide all codes of a row.
+PAIR = ("condition_source_concept_id", "condition_source_value")
+
+
+def source_codes(
+    conditions: DataFrame,
+    code_map: DataFrame,
+    icd10: Sequence[str] = ("ICD10CM",),
+    icd9: Sequence[str] = ("ICD9CM",),
+) -> SourceCodes:
+    """Codes by source id and by text, looked up once for each distinct pair.
+
+    The pairs are counted together on the map side, so the lookups see distinct pairs
+    instead of rows, and rows meet the result in one join. Frequent ids and texts
+    (such as id 0, which stands for "no concept") are spread over all reducers.
+    """
+    source_id, text = PAIR
+    hot_ids, hot_texts, hot_pairs = frequent_keys(conditions, [source_id], [text], PAIR)
+    pairs = conditions.select(*PAIR).distinct()
+    by_id = code_map.select(
+        F.col("icd_concept_id").alias(source_id), "icd_concept_id", "vocabulary_id", "icd_concept_name", "concept_code"
+    )
+    joined = left_lookup(pairs, by_id, source_id, [text], hot_ids)
+
     known = (
         code_map.filter(F.col("vocabulary_id").isin(*icd10, *icd9))
         .groupBy(F.col("concept_code").alias("_text"))
@@ -84,58 +119,46 @@ def _parsed_codes(df: DataFrame, code_map: DataFrame, icd10: Sequence[str], icd9
             F.max(F.col("vocabulary_id").isin(*icd9)).alias("_is_icd9"),
         )
     )
-    text = F.col("condition_source_value")
-    by_rule = df.withColumns({"_icd10": extract_code(text, ICD10_RULES), "_icd9": extract_code(text, ICD9_RULES)})
+    parts = {"_icd10": extract_code(F.col(text), ICD10_RULES), "_icd9": extract_code(F.col(text), ICD9_RULES)}
     # a text that both rule sets parsed cannot need the lookup
-    by_rule = by_rule.withColumn("_text", F.when(F.col("_icd10").isNull() | F.col("_icd9").isNull(), text))
-    looked_up = left_lookup(by_rule, known, "_text", SPREAD_COLUMNS)
-    return looked_up.withColumns(
+    unparsed = F.when(F.col("_icd10").isNull() | F.col("_icd9").isNull(), F.col(text))
+    looked_up = left_lookup(joined.withColumns(parts).withColumn("_text", unparsed), known, "_text", PAIR, hot_texts)
+    found = looked_up.withColumns(
         {
-            "icd_9_concept_code": F.coalesce("_icd9", F.when(F.col("_is_icd9"), text)),
-            "icd_10_concept_code": F.coalesce("_icd10", F.when(F.col("_is_icd10"), text)),
+            "icd_9_concept_code": F.coalesce("_icd9", F.when(F.col("_is_icd9"), F.col(text))),
+            "icd_10_concept_code": F.coalesce("_icd10", F.when(F.col("_is_icd10"), F.col(text))),
         }
-    ).drop("_icd9", "_icd10", "_is_icd9", "_is_icd10", "_text")
-
-
-def _map_by_id(code_map: DataFrame) -> DataFrame:
-    return code_map.select(
-        F.col("icd_concept_id").alias("condition_source_concept_id"),
-        "icd_concept_id",
-        "vocabulary_id",
-        "icd_concept_name",
-        "concept_code",
     )
+    return SourceCodes(found.drop("_icd9", "_icd10", "_is_icd9", "_is_icd10", "_text"), hot_pairs)
 
 
-def resolve_condition_codes(conditions: DataFrame, code_map: DataFrame, keep_unmapped: bool = False) -> DataFrame:
+def resolve_condition_codes(
+    conditions: DataFrame, code_map: DataFrame, keep_unmapped: bool = False, codes: SourceCodes | None = None
+) -> DataFrame:
     """Condition rows with one code each: by source id, else ICD-10, else ICD-9 text.
 
     By default rows without a vocabulary are dropped, which leaves the rows
-    matched by id; the join is an inner one then. ``keep_unmapped`` also returns
-    rows whose code was only parsed; those have no vocabulary.
+    matched by id. ``keep_unmapped`` also returns rows whose code was only parsed;
+    those have no vocabulary. ``codes`` may come from a table that holds these rows and
+    others.
     """
-    rows = conditions.select(*CONDITION_COLUMNS, "data_partner_id")
-    by_id = _map_by_id(code_map)
-    if keep_unmapped:
-        joined = left_lookup(rows, by_id, "condition_source_concept_id", SPREAD_COLUMNS)
-    else:
-        joined = rows.join(by_id.filter(F.col("vocabulary_id").isNotNull()), "condition_source_concept_id")
-    parsed = _parsed_codes(joined, code_map, ("ICD10CM",), ("ICD9CM",))
+    codes = codes or source_codes(conditions, code_map)
     combined = F.coalesce("concept_code", "icd_10_concept_code", "icd_9_concept_code")
-    return (
-        parsed.withColumn("combined_concept_code", combined)
-        .filter(F.col("combined_concept_code").isNotNull())
-        .select(
-            *CONDITION_COLUMNS,
-            "icd_concept_id",
-            "vocabulary_id",
-            "icd_concept_name",
-            "icd_9_concept_code",
-            "icd_10_concept_code",
-            "concept_code",
-            "combined_concept_code",
-            "data_partner_id",
-        )
+    useful = codes.pairs.withColumn("combined_concept_code", combined).filter("combined_concept_code is not null")
+    rows = conditions.select(*CONDITION_COLUMNS, "data_partner_id")
+    if not keep_unmapped:
+        useful = useful.filter("vocabulary_id is not null")
+        rows = rows.filter("condition_source_concept_id is not null")
+    return lookup_of_values(rows, useful, PAIR, SPREAD_COLUMNS, codes.hot, "inner").select(
+        *CONDITION_COLUMNS,
+        "icd_concept_id",
+        "vocabulary_id",
+        "icd_concept_name",
+        "icd_9_concept_code",
+        "icd_10_concept_code",
+        "concept_code",
+        "combined_concept_code",
+        "data_partner_id",
     )
 
 
@@ -148,26 +171,29 @@ def latest_per_code(
     return df.groupBy(*keys).agg(F.max(date).alias(date))
 
 
-def resolve_condition_codes_wide(cohort: DataFrame, conditions: DataFrame, code_map: DataFrame) -> DataFrame:
+def resolve_condition_codes_wide(
+    cohort: DataFrame,
+    conditions: DataFrame,
+    code_map: DataFrame,
+    icd10: Sequence[str] = ("ICD10CM", "ICD10"),
+    icd9: Sequence[str] = ("ICD9CM", "ICD9"),
+) -> DataFrame:
     """Cohort conditions with ICD-10 codes and the vocabulary recovered by code.
 
     Every map row with the code counts, so a code with several targets repeats
-    its row.
+    its row. All four lookups are made for distinct pairs of source id and text; the
+    rows themselves are joined once.
     """
-    flags = cohort.select("person_id", "has_lsd")
-    rows = conditions.join(flags, "person_id").distinct()
-    joined = left_lookup(rows, _map_by_id(code_map), "condition_source_concept_id", SPREAD_COLUMNS)
-    icd10 = ("ICD10CM", "ICD10")
-    icd9 = ("ICD9CM", "ICD9")
-    parsed = _parsed_codes(joined, code_map, icd10, icd9).withColumn(
-        "combined_concept_code", F.coalesce("concept_code", "icd_10_concept_code")
-    )
+    codes = source_codes(conditions, code_map, icd10, icd9)
+    pairs = codes.pairs.withColumn("combined_concept_code", F.coalesce("concept_code", "icd_10_concept_code"))
     for name, vocabularies in (("icd10_vocab_id", icd10), ("icd9_vocab_id", icd9)):
         by_code = code_map.filter(F.col("vocabulary_id").isin(*vocabularies)).select(
             F.col("concept_code").alias("combined_concept_code"), F.col("vocabulary_id").alias(name)
         )
-        parsed = left_lookup(parsed, by_code, "combined_concept_code", SPREAD_COLUMNS)
-    return parsed.select(
+        pairs = left_lookup(pairs, by_code, "combined_concept_code", PAIR)
+    flags = cohort.select("person_id", "has_lsd")
+    rows = conditions.join(flags, "person_id").distinct()
+    return lookup_of_values(rows, pairs, PAIR, SPREAD_COLUMNS, codes.hot).select(
         *CONDITION_COLUMNS,
         "has_lsd",
         "icd_concept_id",

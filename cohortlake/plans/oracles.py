@@ -19,6 +19,12 @@ ICD10_TEXT = r"""
          when strpos(condition_source_value, '|ICD-10-CM') > 0
            then regexp_extract(condition_source_value, '^(.*?)\|ICD-10-CM', 1) end"""
 
+ICD9_TEXT = r"""
+    case when strpos(condition_source_value, 'ICD9CM:') > 0
+           then regexp_extract(condition_source_value, '^.*ICD9CM:(.*)$', 1)
+         when strpos(condition_source_value, ':ICD-9-CM') > 0
+           then regexp_extract(condition_source_value, '^(.*?):ICD-9-CM', 1) end"""
+
 DRUG_NAME = """
     case when regexp_matches({0}, 'dexamethasone', 'i') then 'dexamethasone'
          when regexp_matches({0}, 'baricitinib', 'i') then 'baricitinib'
@@ -164,12 +170,12 @@ STEPS = {
     "resolved_all": f"""
         select c.person_id, c.condition_concept_id, c.condition_concept_name, c.condition_start_date,
           c.condition_end_date, c.condition_source_value, c.condition_source_concept_id, m.icd_concept_id,
-          m.vocabulary_id, m.icd_concept_name, cast(null as varchar) as icd_9_concept_code,
+          m.vocabulary_id, m.icd_concept_name, {ICD9_TEXT} as icd_9_concept_code,
           coalesce({ICD10_TEXT}, k.known) as icd_10_concept_code, m.concept_code,
-          coalesce(m.concept_code, {ICD10_TEXT}, k.known) as combined_concept_code, c.data_partner_id
+          coalesce(m.concept_code, {ICD10_TEXT}, k.known, {ICD9_TEXT}) as combined_concept_code, c.data_partner_id
         from condition_occurrence c left join code_map m on m.icd_concept_id = c.condition_source_concept_id
         left join known_codes k on k.known = c.condition_source_value
-        where coalesce(m.concept_code, {ICD10_TEXT}, k.known) is not null""",
+        where coalesce(m.concept_code, {ICD10_TEXT}, k.known, {ICD9_TEXT}) is not null""",
     "resolved": "select * from resolved_all where vocabulary_id is not null",
     "latest": """
         select person_id, vocabulary_id, combined_concept_code, condition_start_date from resolved

@@ -86,11 +86,12 @@ def _code_if_known(s: Study) -> DataFrame:
 
 
 def _resolve(s: Study) -> DataFrame:
-    return code_mapping.resolve_condition_codes(s.tables["condition_occurrence"], s.code_map)
+    return code_mapping.resolve_condition_codes(s.tables["condition_occurrence"], s.code_map, codes=s.source_codes)
 
 
 def _resolve_all(s: Study) -> DataFrame:
-    return code_mapping.resolve_condition_codes(s.tables["condition_occurrence"], s.code_map, keep_unmapped=True)
+    conditions = s.tables["condition_occurrence"]
+    return code_mapping.resolve_condition_codes(conditions, s.code_map, keep_unmapped=True, codes=s.source_codes)
 
 
 def _match_nearest(s: Study) -> DataFrame:

@@ -36,6 +36,9 @@ class StudyParameters:
     index_date: str = "COVID_first_poslab_or_diagnosis_date"
     index_range: tuple[str, str] = cohort.INDEX_DATE_RANGE
     study_end: str = events.STUDY_END
+    # vocabularies of the source codes
+    icd10: Sequence[str] = ("ICD10CM",)
+    icd9: Sequence[str] = ("ICD9CM",)
     # the day ages are completed at; the end of the study where it is left out
     ages_at: str | None = None
     lab_codes: Sequence[str] = labs.LAB_CODES
@@ -76,7 +79,7 @@ class Study:
     @cached_property
     def code_map(self) -> DataFrame:
         return self._kept(
-            code_mapping.code_to_standard_map(self.tables["concept"], self.tables["concept_relationship"])
+            code_mapping.code_to_standard_map(self.tables["concept"], self.tables["concept_relationship"], self.params.icd10)
         )
 
     @cached_property
@@ -126,10 +129,18 @@ class Study:
 
     # conditions
 
+    @cached_property
+    def source_codes(self) -> code_mapping.SourceCodes:
+        """Codes of the distinct source ids and texts of all conditions."""
+        return code_mapping.source_codes(
+            self.tables["condition_occurrence"], self.code_map, self.params.icd10, self.params.icd9
+        )
+
     @cached_property
     def condition_codes(self) -> DataFrame:
         """Latest date per person and code of all persons."""
-        resolved = code_mapping.resolve_condition_codes(self.tables["condition_occurrence"], self.code_map)
+        conditions = self.tables["condition_occurrence"]
+        resolved = code_mapping.resolve_condition_codes(conditions, self.code_map, codes=self.source_codes)
         return code_mapping.latest_per_code(resolved)
 
     @cached_property
@@ -138,7 +149,7 @@ class Study:
 
     @cached_property
     def exposed_codes(self) -> DataFrame:
-        resolved = code_mapping.resolve_condition_codes(self.exposed_conditions, self.code_map)
+        resolved = code_mapping.resolve_condition_codes(self.exposed_conditions, self.code_map, codes=self.source_codes)
         return code_mapping.latest_per_code(resolved)
 
     @cached_property

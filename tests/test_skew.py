@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlake.operators.code_mapping import resolve_condition_codes, resolve_condition_codes_wide, source_codes
 from cohortlake.operators.events import index_window_join, survival_table
+from cohortlake.operators.joins import frequent_keys, left_lookup
 from cohortlake.operators.regression import min_group_size
 
 
@@ -70,3 +72,85 @@ def test_group_sizes_need_no_window(spark, hot_events):
     kept = min_group_size(hot_events, "person_id", 1000)
     assert "Window" not in final_plan(kept)
     assert kept.select("person_id").distinct().count() == 1
+
+
+@pytest.fixture(scope="module")
+def hot_conditions(spark):
+    """Half of all rows have concept id 0 and one text, a sixth no id, the others one of 1,000 ids."""
+    id0, no_id = F.col("id") % 2 == 0, F.col("id") % 6 == 1
+    key = F.when(id0, 0).when(~no_id, 1 + F.col("id") % 1000).cast("int")
+    return spark.range(0, 120_000, 1, 12).select(
+        F.col("id").cast("string").alias("person_id"),
+        F.lit(1).alias("condition_concept_id"),
+        F.lit("c").alias("condition_concept_name"),
+        F.lit("2020-01-01").cast("date").alias("condition_start_date"),
+        F.lit(None).cast("date").alias("condition_end_date"),
+        F.when(id0, "E10").when(no_id, None).otherwise(F.concat(F.lit("ICD9CM:"), key)).alias("condition_source_value"),
+        key.alias("condition_source_concept_id"),
+        F.lit(1).alias("data_partner_id"),
+    )
+
+
+@pytest.fixture(scope="module")
+def some_codes(spark):
+    rows = [(0, "none", "ICD10CM", "Z0"), (1, "one", "ICD10CM", "E11"), (2, "two", "ICD10CM", "E10"), (2, "two", "ICD10CM", "E10")]
+    return spark.createDataFrame(rows, "icd_concept_id int, icd_concept_name string, vocabulary_id string, concept_code string")
+
+
+def test_frequent_keys_are_few_and_found(spark, hot_conditions):
+    ids, pairs, persons = frequent_keys(
+        hot_conditions,
+        ["condition_source_concept_id"],
+        ["condition_source_concept_id", "condition_source_value"],
+        ["person_id"],
+        parts=8,
+    )
+    # id 0 and NULL; the salts follow the shares of the rows
+    assert sorted(ids.values()) == [6, 16] and sorted(pairs.values()) == [6, 16] and persons == {}
+    assert frequent_keys(hot_conditions.limit(0), ["person_id"]) == [{}]
+
+
+def test_key_with_half_of_the_rows_uses_every_reducer(spark, small_partitions, hot_conditions, some_codes):
+    key = "condition_source_concept_id"
+    (hot,) = frequent_keys(hot_conditions, [key])
+    lookup = some_codes.filter("icd_concept_id < 2").select(F.col("icd_concept_id").alias(key), "concept_code")
+    before = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        plain = left_lookup(hot_conditions, lookup, key, ["person_id"])
+        spread = left_lookup(hot_conditions, lookup, key, ["person_id"], hot)
+        tasks = [df.filter("concept_code = 'Z0'").select(F.spark_partition_id().alias("p")).groupBy("p").count() for df in (plain, spread)]
+        plain_sizes, spread_sizes = [[row["count"] for row in task.collect()] for task in tasks]
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", before)
+    assert plain_sizes == [60_000]
+    assert sum(spread_sizes) == 60_000 and len(spread_sizes) == 8 and max(spread_sizes) < 20_000
+    assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
+
+
+def test_codes_of_hot_pairs_equal_those_without_salts(spark, hot_conditions, some_codes):
+    codes = source_codes(hot_conditions, some_codes)
+    assert len(codes.hot) == 2
+    strict = resolve_condition_codes(hot_conditions, some_codes, codes=codes).groupBy("combined_concept_code").count()
+    # every row of id 2 meets two equal rows of the map
+    assert {row[0]: row[1] for row in strict.collect()} == {"Z0": 60_000, "E10": 160}
+    loose = resolve_condition_codes(hot_conditions, some_codes, keep_unmapped=True).groupBy("combined_concept_code").count()
+    counts = {row[0]: row[1] for row in loose.collect()}
+    # the texts give the other ids a code; without id and text there is none
+    assert sum(counts.values()) == 100_000 + 80 and counts["E10"] == 160
+
+
+def test_wide_moves_condition_rows_three_times(spark, small_partitions, hot_conditions, some_codes):
+    cohort = hot_conditions.select("person_id", F.lit(1).alias("has_lsd"))
+    wide = resolve_condition_codes_wide(cohort, hot_conditions, some_codes)
+    final_plan(wide)
+    exchanges = wide._jdf.queryExecution().optimizedPlan().toString()
+    # rows carry all columns: one join with the persons, one distinct, one join with the pairs
+    joins = [line for line in exchanges.splitlines() if "Join " in line]
+    assert len(joins) == 6
+    assert sum("_salt" in line for line in joins) == 1
+    # NULL finds NULL: a pair without id and text is kept, without a code
+    assert wide.filter("condition_source_value is null").count() == 20_000
+    assert wide.filter("condition_source_value is null and combined_concept_code is not null").count() == 0
+    # the 80 rows of id 2 meet two rows of the map by id, and two again by code
+    assert wide.count() == 120_000 + 3 * 80
