@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         featurize, "key long, label double, places array<int>, shares array<double>"
     )
     vector = F.udf(lambda places, shares: SparseVector(DIMENSIONS, places, shares), VectorUDT())
-    rows = rows.select("key", "label", vector("places", "shares").alias("features")).coalesce(8).cache()
+    rows = rows.select("key", "label", vector("places", "shares").alias("features")).repartition(8, "key").cache()
     try:
         calibrates = F.pmod(F.xxhash64("key", F.lit("calibration")), F.lit(5)) == 0
         kinds = {(row[0], row[1]) for row in rows.select(calibrates, "label").distinct().collect()}
