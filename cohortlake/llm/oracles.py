@@ -87,6 +87,60 @@ def _vector_codes(rounds: int = 4) -> str:
     from whole join found using (place)"""
 
 
+# The smallest number that links lead to, from every node to itself on.
+REACH = """
+    reach(id, found) as (
+      select id, id from nodes
+      union
+      select r.id, e.b from reach r join edges e on e.a = r.found),
+    classes as (select id, min(found) as class_id from reach group by id)"""
+
+# Fixed by the contract: shingles of five words, a similarity of 0.8. All pairs that share a shingle, by hashes of 64 bits.
+JACCARD = f"""
+    with recursive words as (
+      select doc_id, "text", list_filter(string_split_regex("text", '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+      from documents where doc_id is not null),
+    nodes as (
+      select min(doc_id) as id, count(distinct doc_id) as copies, "text", any_value(w) as w
+      from words where len(w) > 0 group by "text"),
+    shingles as (
+      select distinct id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+        lambda i: hash(array_to_string(w[i:i + 4], ' ')))) as s
+      from nodes),
+    sizes as (select id, count(*) as n from shingles group by id),
+    common as (
+      select x.id as a, y.id as b, count(*) as c from shingles x join shingles y on x.s = y.s and x.id <> y.id group by all),
+    edges as (
+      select a, b from common join sizes x on x.id = a join sizes y on y.id = b where 10 * c >= 8 * (x.n + y.n - c)),
+    {REACH},
+    links as (select a as id, sum(n.copies) as links from edges join nodes n on n.id = b group by a)
+    select d.doc_id, ifnull(c.class_id, d.doc_id) as class_id,
+      (ifnull(l.links, 0) + ifnull(n.copies, 1) - 1)::bigint as n_links, d.doc_id = ifnull(c.class_id, d.doc_id) as kept
+    from documents d left join nodes n on n."text" = d."text" left join classes c on c.id = n.id left join links l on l.id = n.id
+    where d.doc_id is not null"""
+
+# Fixed by the contract: a cosine of 0.93. All pairs of a label.
+COSINE = f"""
+    with recursive nodes as (
+      select vec_id as id, label, v, sqrt(list_dot_product(v, v)) as size
+      from (select *, list_transform(embedding, lambda x: x::double) as v from embeddings where {{usable}} and len(embedding) > 0)
+      where label is not null and vec_id is not null and list_dot_product(v, v) > 0),
+    edges as (
+      select x.id as a, y.id as b from nodes x join nodes y on x.label = y.label and x.id <> y.id and len(x.v) = len(y.v)
+      where list_dot_product(x.v, y.v) / (x.size * y.size) >= 0.93),
+    {REACH},
+    links as (select a as id, count(*) as n_links from edges group by a)
+    select vec_id, ifnull(n_links, 0) as n_links, ifnull(class_id, vec_id) as component_id,
+      vec_id = ifnull(class_id, vec_id) as kept
+    from embeddings left join classes on classes.id = vec_id left join links on links.id = vec_id"""
+
+
 def llm_oracles() -> dict[str, str]:
     """SQL by query. The others learn, tokenize or draw, which SQL cannot state."""
-    return {"op11_prefix_trie": PREFIX_TRIE, "op12_block_search": TOP_K, "op13_vector_codes": _vector_codes()}
+    return {
+        "op7_jaccard_join": JACCARD,
+        "op10_lattice": COSINE.format(usable=USABLE),
+        "op11_prefix_trie": PREFIX_TRIE,
+        "op12_block_search": TOP_K,
+        "op13_vector_codes": _vector_codes(),
+    }
