@@ -20,6 +20,7 @@ FLOAT_FACTS = (
     "BMI_max_observed_or_calculated_before_or_day_of_covid",
     "BMI_max_observed_or_calculated_post_covid",
 )
+FACT_TYPES = dict.fromkeys(("age_at_covid", *INT_FACTS), "int") | dict.fromkeys(FLOAT_FACTS, "float")
 EXPOSURE_COLUMNS = (
     "condition_concept_id",
     "condition_source_concept_id",

@@ -155,6 +155,12 @@ STEPS = {
             condition_end_date desc nulls last, data_partner_id desc nulls last) = 1""",
     "facts": """
         select f.person_id, f.data_partner_id, f.covid_index_date, f.severity_type,
+          try_cast(trunc(try_cast(f.number_of_visits_before_covid as double)) as int) as number_of_visits_before_covid,
+          try_cast(trunc(try_cast(f.number_of_visits_post_covid as double)) as int) as number_of_visits_post_covid,
+          try_cast(trunc(try_cast(f.number_of_COVID_vaccine_doses_before_or_day_of_covid as double)) as int) as number_of_COVID_vaccine_doses_before_or_day_of_covid,
+          try_cast(trunc(try_cast(f.number_of_COVID_vaccine_doses_post_covid as double)) as int) as number_of_COVID_vaccine_doses_post_covid,
+          try_cast(f.BMI_max_observed_or_calculated_before_or_day_of_covid as float) as BMI_max_observed_or_calculated_before_or_day_of_covid,
+          try_cast(f.BMI_max_observed_or_calculated_post_covid as float) as BMI_max_observed_or_calculated_post_covid,
           try_cast(f.age_at_covid as int) as Age, f.race as Race, nullif(f.sex, 'No matching concept') as Sex,
           x.condition_concept_id, x.condition_source_concept_id, x.condition_source_value, x.specific_condition_name,
           x.condition_start_date, x.condition_end_date, x.data_partner_id as lsd_data_partner_id,
@@ -432,6 +438,27 @@ def _equations(rows: str, outcome: str, number: str, texts: tuple[str, ...]) ->
     return f"select term, {both} from ({' union all '.join(sums)})"
 
 
+# The facts columns that are cast.
+INT_FACTS = (
+    "age_at_covid",
+    "number_of_visits_before_covid",
+    "number_of_visits_post_covid",
+    "number_of_COVID_vaccine_doses_before_or_day_of_covid",
+    "number_of_COVID_vaccine_doses_post_covid",
+)
+FLOAT_FACTS = (
+    "BMI_max_observed_or_calculated_before_or_day_of_covid",
+    "BMI_max_observed_or_calculated_post_covid",
+)
+TYPED_CELLS = ", ".join(
+    [f"try_cast(trunc(try_cast({name} as double)) as int) as {name}" for name in INT_FACTS]
+    + [f"try_cast({name} as float) as {name}" for name in FLOAT_FACTS]
+)
+REJECTED = " union all ".join(
+    f"select person_id, '{name}' as column_name, {name}::varchar as cell from patient_facts" for name in INT_FACTS + FLOAT_FACTS
+)
+
+
 def oracle_texts() -> dict[str, str]:
     rounded_cells = ", ".join(f"round(ifnull({c}, median({c}) over ()), 6) as {c}" for c in LAB_COLUMNS)
     missing = " union all ".join(
@@ -472,6 +499,11 @@ def oracle_texts() -> dict[str, str]:
         "most_specific_condition": "select * from specific",
         "events_of_persons": "select * from exposed_conditions",
         "patient_facts": "select * from facts",
+        "typed_table": f"""
+            select f.* replace ({TYPED_CELLS}) from patient_facts f""",
+        "rejected_cells": f"""
+            select person_id, column_name, cell, if(column_name like 'BMI%', 'float', 'int') as wanted_type
+            from ({REJECTED}) where cell is not null and try_cast(cell as double) is null""",
         "demographics": """
             select s.*, race_concept_id, race_concept_name, gender_concept_id, gender_concept_name, month_of_birth,
               year_of_birth, cast(2002 - year_of_birth - if(month_of_birth > 6, 1, 0) as int) as Age

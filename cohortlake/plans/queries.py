@@ -23,6 +23,7 @@ from cohortlake.operators.concept_sets import ConceptSet
 from cohortlake.plans.study import Study, StudyParameters
 from cohortlake.session import tune
 from cohortlake.sources.bindings import StudyTables
+from cohortlake.sources.typed import rejected_cells, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +105,14 @@ def _restrict_to(s: Study) -> DataFrame:
     return joins.restrict_to(s.tables["patient_facts"], s.specific_conditions)
 
 
+def _typed_table(s: Study) -> DataFrame:
+    return typed(s.tables["patient_facts"], cohorts.FACT_TYPES)
+
+
+def _rejected_cells(s: Study) -> DataFrame:
+    return rejected_cells(s.tables["patient_facts"], cohorts.FACT_TYPES, ("person_id",))
+
+
 def _binary_severity(s: Study) -> DataFrame:
     level = F.col("severity_type")
     return s.tables["patient_facts"].select("person_id", "severity_type", binary_severity(level).alias("Binary_Severity"))
@@ -269,6 +278,8 @@ STUDY_QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "most_specific_condition": lambda s: s.specific_conditions,
     "events_of_persons": lambda s: s.exposed_conditions,
     "patient_facts": lambda s: s.facts,
+    "typed_table": _typed_table,
+    "rejected_cells": _rejected_cells,
     "demographics": _demographics,
     "impute_covariates": lambda s: s.covariates,
     "propensity_score": _propensity_score,

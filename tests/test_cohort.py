@@ -126,3 +126,21 @@ def test_partitions_follow_the_shuffle_size(spark):
     tune(spark, shuffle_bytes=10 * 1024**3)
     assert spark.conf.get(key) == "80"
     spark.conf.set(key, before)
+
+
+def test_cells_that_do_not_fit_are_listed(spark):
+    from cohortlake.sources.typed import rejected_cells, typed
+
+    rows = [(1, "12.7", "2020-01-31", 5), (2, "", "soon", 6), (3, None, None, None), (2, "1e3", "2020-02-30", 6), (4, "1e12", None, 7)]
+    df = spark.createDataFrame(rows, "k int, visits string, day string, extra int")
+    types = {"VISITS": "int", "day": "date", "extra": "int", "absent": "float"}
+    out = typed(df, types)
+    assert dict(out.dtypes) == {"k": "int", "visits": "int", "day": "date", "extra": "int"}
+    assert [r.visits for r in out.collect()] == [12, None, None, 1000, None]
+    lost = sorted(tuple(r) for r in rejected_cells(df, types, ["k"]).collect())
+    assert lost == [
+        (2, "day", "2020-02-30", "date"), (2, "day", "soon", "date"), (2, "visits", "", "int"), (4, "visits", "1e12", "int")
+    ]
+    assert rejected_cells(df, {"extra": "int"}, ["k"]).count() == 0 and rejected_cells(df.limit(0), types, ["k"]).count() == 0
+    with pytest.raises(ValueError, match="no cast to bytes"):
+        typed(df, {"k": "bytes"})

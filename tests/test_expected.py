@@ -11,6 +11,7 @@ DUCK_TYPES = {
     "int": "INTEGER",
     "bigint": "BIGINT",
     "double": "DOUBLE",
+    "float": "FLOAT",
     "string": "VARCHAR",
     "date": "DATE",
     "boolean": "BOOLEAN",
