@@ -12,6 +12,8 @@ from cohortlake.operators.ranks import quantiles
 from cohortlake.session import cut_lineage
 
 Z95 = 1.959963984540054
+# Length of the stretch of time that one task sums up.
+RANGE_WIDTH = 4096.0
 
 
 def kaplan_meier(
@@ -21,13 +23,16 @@ def kaplan_meier(
     strata: str = "drug_name",
     exclude: Sequence[str] = (),
     distinct_rows: bool = True,
+    range_width: float = RANGE_WIDTH,
 ) -> DataFrame:
     """Product-limit estimate per stratum and distinct time, with 95 % bounds.
 
     ``distinct_rows`` counts equal (time, status, stratum) rows once; status is 1
-    for an event and 0 otherwise. Rows become counts per stratum and whole-day time
-    first, so the running sums only see the distinct days of a stratum, however many
-    persons it has.
+    for an event and 0 otherwise. Rows become counts per stratum and time first, so hot
+    strata combine on the map side. A stratum's time axis is cut into ranges of
+    ``range_width``: each range sums up its own times, then gets what the ranges before
+    it leave, so that no task sorts more than one range, which for whole-day times has at
+    most ``range_width`` rows. Give a smaller width for finer times.
     """
     rows = df.select(F.col(strata).alias("strata"), F.col(time).cast("double").alias("time"), F.col(status).alias("s"))
     rows = rows.filter(F.col("strata").isNotNull() & F.col("time").isNotNull() & F.col("s").isNotNull())
@@ -38,21 +43,42 @@ def kaplan_meier(
     counts = rows.groupBy("strata", "time").agg(
         count(event).cast("long").alias("n_event"), count(censored).cast("long").alias("n_censor")
     )
-    by_time = Window.partitionBy("strata").orderBy("time")
-    in_time = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    whole = by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, d = F.col("n_risk"), F.col("n_event")
     here = d + F.col("n_censor")
-    at_risk = counts.withColumn("n_risk", F.sum(here).over(whole) - F.sum(here).over(in_time) + here)
+    ranged = counts.withColumn("_range", F.floor(F.col("time") / range_width))
+    in_range = Window.partitionBy("strata", "_range").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    by_range = Window.partitionBy("strata").orderBy("_range")
+    from_range = by_range.rowsBetween(0, Window.unboundedFollowing)
+    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
+
+    # those who leave in a range or after it, less those who left in it before this time
+    entering = ranged.groupBy("strata", "_range").agg(F.sum(here).alias("_here"))
+    entering = entering.select("strata", "_range", F.sum("_here").over(from_range).alias("_entering"))
+    at_risk = ranged.join(entering, ["strata", "_range"]).withColumn(
+        "n_risk", F.col("_entering") - F.sum(here).over(in_range) + here
+    )
     # the step where everybody left dies takes the curve to 0 for good
-    last_step = F.when(d == n, 1).otherwise(0)
-    log_step = F.when(d < n, F.log1p(-d / n)).otherwise(0.0)
-    var_step = F.when(d < n, d / (n * (n - d))).otherwise(0.0)
-    summed = at_risk.select(
+    steps = at_risk.select(
+        "strata", "_range", "time", "n_risk", "n_event", "n_censor",
+        F.when(d == n, 1).otherwise(0).alias("_last"),
+        F.when(d < n, F.log1p(-d / n)).otherwise(0.0).alias("_log_step"),
+        F.when(d < n, d / (n * (n - d))).otherwise(0.0).alias("_var_step"),
+    )
+    passed = steps.groupBy("strata", "_range").agg(
+        F.max("_last").alias("_last"), F.sum("_log_step").alias("_log"), F.sum("_var_step").alias("_var")
+    )
+    passed = passed.select(
+        "strata",
+        "_range",
+        F.coalesce(F.max("_last").over(before), F.lit(0)).alias("_dead_before"),
+        F.coalesce(F.sum("_log").over(before), F.lit(0.0)).alias("_log_before"),
+        F.coalesce(F.sum("_var").over(before), F.lit(0.0)).alias("_var_before"),
+    )
+    summed = steps.join(passed, ["strata", "_range"]).select(
         "*",
-        F.max(last_step).over(in_time).alias("_dead"),
-        F.sum(log_step).over(in_time).alias("_log"),
-        F.sqrt(F.sum(var_step).over(in_time)).alias("_se"),
+        F.greatest("_dead_before", F.max("_last").over(in_range)).alias("_dead"),
+        (F.col("_log_before") + F.sum("_log_step").over(in_range)).alias("_log"),
+        F.sqrt(F.col("_var_before") + F.sum("_var_step").over(in_range)).alias("_se"),
     )
     alive = F.col("_dead") == 0
     return summed.select(

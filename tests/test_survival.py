@@ -56,6 +56,40 @@ def test_excluded_and_missing_strata(spark):
     assert [r.strata for r in kaplan_meier(df, exclude=("b",)).collect()] == ["a"]
 
 
+@pytest.mark.parametrize("width", [1.0, 4.0, 7.5])
+def test_ranges_change_nothing(spark, trial, width):
+    """Cut into ranges, with times below 0 and a curve that ends, the curve is that of one window."""
+    early = spark.createDataFrame([(-9, 1, "b"), (-3, 0, "b"), (2, 1, "b"), (5, 1, "b")], "days int, status int, drug_name string")
+    rows = trial.unionByName(early)
+    got = {(r.strata, r.time): r for r in kaplan_meier(rows, distinct_rows=False, range_width=width).collect()}
+    want = {(r.strata, r.time): r for r in kaplan_meier(rows, distinct_rows=False, range_width=1e6).collect()}
+    assert set(got) == set(want)
+    for key, row in want.items():
+        assert got[key][:4] == row[:4]
+        assert got[key][4:8] == tuple(None if v is None else pytest.approx(v, rel=1e-12) for v in row[4:8])
+
+
+def test_curve_over_a_million_times(spark):
+    """One stratum of a million distinct times: no task sorts more than a range of them."""
+    df = spark.range(1_000_000).select(
+        F.col("id").alias("days"), (F.col("id") % 3 == 0).cast("int").alias("status"), F.lit("a").alias("drug_name")
+    )
+    km = kaplan_meier(df, distinct_rows=False).persist()
+    log, want = 0.0, {}
+    for t in range(1_000_000):
+        if t % 3 == 0 and t < 999_999:
+            log += math.log1p(-1 / (1_000_000 - t))
+        if t % 99_991 == 0:
+            want[t] = (1_000_000 - t, math.exp(log))
+    got = {int(r.time): (r.n_risk, r.estimate) for r in km.filter(F.col("time").cast("long") % 99_991 == 0).collect()}
+    assert {t: n for t, (n, _) in got.items()} == {t: n for t, (n, _) in want.items()}
+    assert all(got[t][1] == pytest.approx(value, rel=1e-9) for t, (_, value) in want.items())
+    assert km.count() == 1_000_000
+    spread = km.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 500_000
+    km.unpersist()
+
+
 def test_risk_table(trial):
     km = kaplan_meier(trial, distinct_rows=False)
     rows = {r.display_time: (r.at_risk, r.events) for r in risk_table(km, (0, 10, 50)).collect()}
