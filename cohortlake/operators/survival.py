@@ -43,6 +43,8 @@ def kaplan_meier(
     counts = rows.groupBy("strata", "time").agg(
         count(event).cast("long").alias("n_event"), count(censored).cast("long").alias("n_censor")
     )
+    # read three times below: the counts are kept, so that the rows are read once
+    counts = cut_lineage(counts)
     n, d = F.col("n_risk"), F.col("n_event")
     here = d + F.col("n_censor")
     ranged = counts.withColumn("_range", F.floor(F.col("time") / range_width))
