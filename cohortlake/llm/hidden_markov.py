@@ -399,10 +399,13 @@ def score(
 
 
 def _train(coded: DataFrame, symbols: int, states: int, rounds: int, seed_texts: int) -> Parameters:
-    chosen = (
-        coded.filter("not held_out").select("doc_id", "row", "symbols").orderBy(F.xxhash64("doc_id"), "row").limit(seed_texts)
-    )
-    seeds = _symbols([row["symbols"] for row in chosen.collect()])
+    # numbers first: sorting whole texts would send as many of them from every task
+    training = coded.filter("not held_out")
+    picked = training.select("doc_id", "row").orderBy(F.xxhash64("doc_id"), "row").limit(seed_texts)
+    numbers = [row["row"] for row in picked.collect()]
+    chosen = training.filter(F.col("row").isin(numbers)).select("row", "symbols").collect()
+    by_row = {row["row"]: row["symbols"] for row in chosen}
+    seeds = _symbols([by_row[number] for number in numbers])
     if not seeds:
         even = np.full(states, 1 / states)
         return Parameters(even, np.tile(even, (states, 1)), np.full((symbols, states), 1 / symbols))
