@@ -2,10 +2,12 @@
 
 A store is a folder. ``shard-N.ids`` holds the ids of consecutive documents in key
 order, 16 bits each where the vocabulary allows it and 32 otherwise, then a table of
-where each document starts, then the documents' keys. ``index-N.mph`` covers the keys
-whose hash falls to it: a minimal perfect hash, and for each slot a fingerprint of the
-key, the shard, the first document with that key and their number. One lookup thus
-reads one slot, two entries of a start table and the payload, at any size of the store.
+where each document starts, then the documents' keys and what the shard holds; ids are
+written as they are made. ``index-N.mph`` covers the keys whose hash falls to it: a
+minimal perfect hash, and for each slot a fingerprint of the key, the shard, the first
+document with that key and their number. A lookup takes one slot, two entries of a start
+table and the payload. Lookups of many keys are brought together by index file, which
+one task reads once, whole.
 
 Files are written under a passing name and renamed, so a task that runs twice, at
 once or later, leaves one whole file.
@@ -16,7 +18,7 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -31,10 +33,10 @@ from cohortlake.llm.token_ids import text_encoder
 # Keys that one index file covers; bounds the memory of the task that builds it.
 INDEX_KEYS = 250_000
 
-# id width in bytes, documents, ids, documents without a key
-_SHARD_HEAD = "<4sIQQQ"
-_SHARD_HEAD_BYTES = struct.calcsize(_SHARD_HEAD)
-_SHARD_MAGIC = b"IDS1"
+# the end of a shard: id width in bytes, documents, ids, documents without a key
+_SHARD_TAIL = "<4sIQQQ"
+_SHARD_TAIL_BYTES = struct.calcsize(_SHARD_TAIL)
+_SHARD_MAGIC = b"IDS2"
 _SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("row", "<u8"), ("count", "<u8")])
 
 
@@ -55,7 +57,7 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _put(folder: str, name: str, parts: list[bytes]) -> None:
+def _put(folder: str, name: str, parts: Iterable[bytes]) -> None:
     files, root = _files(folder)
     files.create_dir(root, recursive=True)
     passing = f"{root}/.{name}-{uuid.uuid4().hex}"
@@ -81,11 +83,11 @@ class Shard:
         files, root = _files(folder)
         self.file = files.open_input_file(f"{root}/{_shard_name(shard)}")
         magic, self.width, self.docs, self.ids, self.nulls = struct.unpack(
-            _SHARD_HEAD, self.file.read_at(_SHARD_HEAD_BYTES, 0)
+            _SHARD_TAIL, self.file.read_at(_SHARD_TAIL_BYTES, self.file.size() - _SHARD_TAIL_BYTES)
         )
         if magic != _SHARD_MAGIC:
             raise ValueError(f"{folder} has no shard {shard}")
-        self.table = _SHARD_HEAD_BYTES + self.ids * self.width
+        self.table = self.ids * self.width
 
     def __enter__(self) -> Shard:
         return self
@@ -99,7 +101,7 @@ class Shard:
 
     def payload(self, first: int, last: int) -> np.ndarray:
         """Ids ``first`` to ``last`` of the shard as little-endian unsigned 32-bit integers."""
-        raw = self.file.read_at((last - first) * self.width, _SHARD_HEAD_BYTES + first * self.width)
+        raw = self.file.read_at((last - first) * self.width, first * self.width)
         return np.frombuffer(raw, dtype=f"<u{self.width}").astype("<u4")
 
     def keys(self) -> np.ndarray:
@@ -135,22 +137,26 @@ def write_ids(
         encoder = text_encoder(tokenizer_path, spaces_count=True)
         width = 2 if max(len(encoder.edge), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
-        parts, lengths, keys, nulls = [], [], [], 0
-        for batch in batches:
-            texts = [value if isinstance(value, str) else "" for value in batch["text"]]
-            for at in range(0, len(texts), 1000):
-                for ids in encoder.encode(texts[at : at + 1000]):
-                    parts.append(np.frombuffer(ids, dtype="<u4").astype(f"<u{width}").tobytes() + end)
-                    lengths.append(len(parts[-1]) // width)
-            known = batch["key"].notna()
-            nulls += int((~known).sum())
-            keys.append(batch["key"][known].to_numpy(dtype="<i8"))
-        starts = np.zeros(len(lengths) + 1, dtype="<u8")
-        np.cumsum(lengths, out=starts[1:])
-        head = struct.pack(_SHARD_HEAD, _SHARD_MAGIC, width, len(lengths), int(starts[-1]), nulls)
-        named = np.concatenate(keys).tobytes() if keys else b""
-        _put(folder, _shard_name(shard), [head, *parts, starts.tobytes(), named])
-        row = {"shard": shard, "docs": len(lengths), "ids": int(starts[-1]), "nulls": nulls, "width": width}
+        lengths, keys, nulls = [], [], 0
+
+        def parts() -> Iterator[bytes]:
+            nonlocal nulls
+            for batch in batches:
+                texts = [value if isinstance(value, str) else "" for value in batch["text"]]
+                for at in range(0, len(texts), 1000):
+                    for ids in encoder.encode(texts[at : at + 1000]):
+                        part = np.frombuffer(ids, dtype="<u4").astype(f"<u{width}").tobytes() + end
+                        lengths.append(len(part) // width)
+                        yield part
+                known = batch["key"].notna()
+                nulls += int((~known).sum())
+                keys.append(batch["key"][known].to_numpy(dtype="<i8"))
+            yield np.cumsum([0, *lengths], dtype="<u8").tobytes()
+            yield np.concatenate(keys).tobytes() if keys else b""
+            yield struct.pack(_SHARD_TAIL, _SHARD_MAGIC, width, len(lengths), sum(lengths), nulls)
+
+        _put(folder, _shard_name(shard), parts())
+        row = {"shard": shard, "docs": len(lengths), "ids": sum(lengths), "nulls": nulls, "width": width}
         yield pd.DataFrame([row])
 
     made = ordered.mapInPandas(encode, "shard int, docs long, ids long, nulls long, width int").collect()
@@ -248,6 +254,17 @@ class Index:
         return out
 
 
+def _by_home(keys: DataFrame, index_files: int) -> DataFrame:
+    """``home, key``: the keys of one index file in one task, one after the other."""
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            unsigned = batch["key"].to_numpy(dtype="<i8").view("<u8")
+            yield pd.DataFrame({"home": _home(unsigned, index_files), "key": batch["key"]})
+
+    return keys.mapInPandas(homes, "home long, key long").repartition("home").sortWithinPartitions("home")
+
+
 def read_ids(keys: DataFrame, store: Store, key: str = "doc_id") -> DataFrame:
     """The documents of the given keys: one row each, as the store has them.
 
@@ -256,7 +273,6 @@ def read_ids(keys: DataFrame, store: Store, key: str = "doc_id") -> DataFrame:
     then read shard by shard in the order of their place. A key the store lacks
     gives no row, a repeated one its rows once, a null key the documents without key.
     """
-    width = store.index_files
     folder, starts = store.folder, store.starts
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,9 +306,7 @@ def read_ids(keys: DataFrame, store: Store, key: str = "doc_id") -> DataFrame:
             shard.file.close()
 
     asked = keys.select(F.col(key).cast("long").alias("key")).distinct()
-    homed = asked.filter("key is not null")
-    if width > 1:
-        homed = homed.repartition(F.pmod(F.xxhash64("key"), F.lit(width)))
+    homed = _by_home(asked.filter("key is not null"), store.index_files)
     found = homed.mapInPandas(look_up, "shard long, row long, count long, key long")
     if store.null_rows:
         # rows without a key are the first of the first shard

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortlake.llm import id_store, packing, queries
@@ -122,6 +123,15 @@ def test_id_store_round_trip(spark, documents, monkeypatch):
     assert [r["doc_id"] for r in id_store.read_ids(some, store).collect()] == [rows[3][0]]
 
 
+def test_keys_meet_by_index_file(spark):
+    """All keys of an index file come to one task in a row, so that it opens each file once."""
+    keys = spark.range(-5000, 5000, numPartitions=7).select(F.col("id").alias("key"))
+    rows = id_store._by_home(keys, 40).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["key"] for r in rows) == list(range(-5000, 5000))
+    runs = [(a["task"], a["home"]) for a, b in zip(rows, [None, *rows]) if b is None or (a["task"], a["home"]) != (b["task"], b["home"])]
+    assert sorted(home for _, home in runs) == list(range(40))
+
+
 def test_id_store_odd(spark, odd_docs, odd_rows, no_docs):
     store = id_store.write_ids(odd_docs, shared_folder(spark, "odd-store"), BYTES, shards=4)
     assert store.null_rows == 2
