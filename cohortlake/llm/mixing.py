@@ -92,6 +92,19 @@ def weights_by_size(sizes: Mapping[str, int], power: float = 0.5, total: int = W
     return {name: max(1, round(value * scale)) for name, value in raw.items()}
 
 
+def whole_weights(weights: Mapping[str, float | Fraction | str]) -> dict[str, int]:
+    """The smallest whole numbers in the same relation: 0.7 and 0.3 are 7 and 3.
+
+    A decimal is taken as it is written; weights must be above 0.
+    """
+    exact = {name: Fraction(str(weight)) for name, weight in weights.items()}
+    if any(weight <= 0 for weight in exact.values()):
+        raise ValueError("weights must be above 0")
+    scale = math.lcm(*[weight.denominator for weight in exact.values()])
+    divisor = math.gcd(*[int(weight * scale) for weight in exact.values()])
+    return {name: int(weight * scale) // divisor for name, weight in exact.items()}
+
+
 def _position(source: Column, block: Column, plan: list[Phase]) -> Column:
     """The slot of a block, from the round of the phase it falls into."""
     position = F.lit(None).cast("long")
@@ -115,7 +128,7 @@ def _lookup(values: Mapping[str, Column], source: Column) -> Column:
 
 def mix(
     docs: DataFrame,
-    weights: Mapping[str, int] | None = None,
+    weights: Mapping[str, float | Fraction | str] | None = None,
     source: str = "source",
     key: str = "doc_id",
     block_rows: int = BLOCK_ROWS,
@@ -129,7 +142,8 @@ def mix(
     sources that still have rows. No row is lost or repeated.
 
     A source's rows are dealt to its blocks by a hash of the key; its last block may
-    be short. Weights are whole numbers per source; left out, they follow the square
+    be short. Weights may be fractions and are kept exactly (see ``whole_weights``; a round
+    of the schedule is as long as they sum up to); left out, they follow the square
     root of the sources' row counts. A source without a weight gets 1. The driver
     gets one count per source. An empty table stays empty.
     """
@@ -139,7 +153,7 @@ def mix(
     shares = dict(weights) if weights is not None else weights_by_size(counts)
     plan = phases(
         {one: -(-count // block_rows) for one, count in counts.items()},
-        {one: max(1, int(Fraction(shares.get(one, 1)))) for one in counts},
+        whole_weights({one: shares.get(one, 1) for one in counts}),
     )
     numbered = number_rows(named, [name], [key], number)
     block = F.floor(F.col(number) / block_rows).cast("long")
@@ -152,7 +166,7 @@ def mix(
     )
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float | Fraction | str] | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows themselves in mixing order, over all partitions in a row."""
     order = [spare_name(docs, "mix_position"), spare_name(docs, "mix_row")]
     placed = mix(docs, weights, source, key)

@@ -190,6 +190,18 @@ def test_mix(spark, small_dir, documents):
         assert all(abs(given[s] - weights[s] / total * (t + 1)) < 1 + 1e-9 for s in counts)
 
 
+def test_fractional_weights(spark):
+    assert mixing.whole_weights({"a": 0.7, "b": 0.3}) == {"a": 7, "b": 3}
+    assert mixing.whole_weights({"a": 4, "b": 2, "c": "1/3"}) == {"a": 12, "b": 6, "c": 1}
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": 0})
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    rows = mixing.mix(docs, {"a": 0.7, "b": 0.3}, block_rows=1).filter("mix_position < 1000").collect()
+    assert len(rows) == 1000
+    for t in range(10, 1001, 10):
+        assert sum(r["source"] == "a" for r in rows if r["mix_position"] < t) == 7 * t // 10
+
+
 def test_odd_mix(spark, odd_docs, odd_rows, no_docs):
     rows = mixing.mixed(odd_docs, {"a": 2, "b": 1})
     assert rows.columns == odd_docs.columns
