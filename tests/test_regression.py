@@ -4,7 +4,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.operators.regression import logistic_terms, min_group_size, odds_ratios, profile_bounds, propensity_score, score_equations
+from cohortlake.operators.regression import (
+    count_rows,
+    logistic_terms,
+    min_group_size,
+    odds_ratios,
+    profile_bounds,
+    propensity_score,
+    score_equations,
+)
+from cohortlake.plans.queries import STUDY_QUERIES, TEST_PARAMETERS
+from cohortlake.plans.study import Study
 
 # (outcome, drug, persons)
 CELLS = [(1, "a", 30), (0, "a", 70), (1, "b", 45), (0, "b", 55)]
@@ -123,3 +133,57 @@ def test_profile_of_a_level_without_outcome(spark):
     found = {r.term: r for r in profile_bounds(spark.createDataFrame(rows, "y int, level string"), "y", ("level",)).collect()}
     assert found["levelb"].conf_low is None and found["levelb"].conf_high is not None and found["levelb"].conf_high < 0
     assert found["(Intercept)"].conf_low < found["(Intercept)"].estimate < found["(Intercept)"].conf_high
+
+
+def _values(df, *keys):
+    """Rows by key, with what tells them apart rounded as little as sums in another order need."""
+    return {tuple(r[k] for k in keys): [None if v is None else pytest.approx(v, abs=1e-7) for k, v in r.asDict().items() if k not in keys] for r in df.collect()}
+
+
+def test_counted_rows_stand_for_single_ones(spark):
+    rnd = random.Random(7)
+    rows = [(int(rnd.random() < 0.3 + 0.1 * (i % 4)), float(i % 4), "abc"[i % 3]) for i in range(300)]
+    rows += [(1, None, "a"), (0, 2.0, None), (0, 2.0, None), (None, 1.0, "b"), (1, 1.0, "rare"), (1, 1.0, "rare")]
+    df = spark.createDataFrame(rows, "y int, x double, level string")
+    counted = count_rows(df, df.columns, "n")
+    assert counted.count() == len(set(rows)) and counted.agg(F.sum("n")).first()[0] == len(rows)
+
+    plain, short = min_group_size(df, "level", 2), min_group_size(counted, "level", 2, count="n")
+    assert {r.level for r in short.collect()} == {"a", "b", "c"} == {r.level for r in plain.collect()}
+    assert short.agg(F.sum("n")).first()[0] == plain.count() == 302
+
+    terms = ("x", "level")
+    scored, short_scored = propensity_score(plain, "y", terms), propensity_score(short, "y", terms, count="n")
+    assert short_scored.columns == [*short.columns, "score"]
+    assert _values(short_scored.drop("n"), "y", *terms) == _values(scored.distinct(), "y", *terms)
+    sums = score_equations(scored, "y", "score", terms)
+    assert _values(score_equations(short_scored, "y", "score", terms, count="n"), "term") == _values(sums, "term")
+
+
+def test_no_complete_row_gives_no_score(spark):
+    df = spark.createDataFrame([(1, None), (0, None)], "y int, level string")
+    scored = propensity_score(df, "y", ("level",))
+    assert scored.dtypes == [*df.dtypes, ("score", "double")]
+    assert [(r.y, r.score) for r in scored.orderBy("y").collect()] == [(0, None), (1, None)]
+    assert propensity_score(df.limit(0), "y", ("level",)).count() == 0
+
+
+def test_drug_rows_are_found_once(spark):
+    """Group sizes, fit, scores and sums read counted rows, not the joins of all drugs again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rnd = random.Random(3)
+    rows = [(int(rnd.random() < 0.4), f"drug {i % 2}", 20 + i % 30, "AB"[i % 5 % 2], "MF"[i % 7 % 2]) for i in range(200)]
+    rows += [(1, "rare", 30, "A", "M")]
+    kinds = "Binary_Severity int, drug_concept_name string, age_at_covid int, race string, sex string"
+    study = Study({}, TEST_PARAMETERS)
+    study.__dict__["outcome_drugs"] = spark.createDataFrame(rows, kinds).mapInPandas(seen, kinds)
+    sums = {r.term: r for r in STUDY_QUERIES["severity_model_equations"](study).collect()}
+    assert sums["(Intercept)"].observed == sums["(Intercept)"].fitted == sum(y for y, *_ in rows[:-1])
+    assert "drug_concept_namerare" not in sums
+    assert read.value == len(rows)
